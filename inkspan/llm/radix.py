@@ -52,7 +52,7 @@ def _follow(hist: DataFrame, targets: DataFrame, groups: Sequence[str], tags: Se
     ``hist`` has one row per (groups, prefix): at most 2**digit rows per window.
     """
     w = W.partitionBy(*groups).orderBy("prefix")
-    cum = hist.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
+    cum = hist.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n")).drop("n")
     j = cum.join(targets, list(groups))
     return j.filter("rank > lo and rank <= hi").select(*groups, *tags, "prefix", (F.col("rank") - F.col("lo")).alias("rank"))
 
