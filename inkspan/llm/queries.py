@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from inkspan.llm import copies, encoding, leaks, neardup, quantiles, repetition, sampling, splits
-from inkspan.session import materialize, table
+from inkspan.llm import copies, encoding, leaks, neardup, quantiles, repetition, sampling, sentences, splits, truncation
+from inkspan.session import table
 
 ESSAYS = "train_v2_drcat_02"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +27,7 @@ def queries() -> dict[str, Query]:
         "p1_records": lambda s, d: copies.collapse(_essays(s, d), "row_id", "text"),
         "p2_found": lambda s, d: repetition.found(_essays(s, d), "row_id", "text"),
         "p2_shares": lambda s, d: repetition.repetition(_essays(s, d), "row_id", "text"),
+        "p3_found": lambda s, d: sentences.found(_essays(s, d), table(s, d, "sentence")),
         "p4_found": lambda s, d: splits.found(_essays(s, d), "row_id", "prompt_name", "split", table(s, d, "split_manifest")),
         "p4_splits": lambda s, d: splits.assign_splits(_essays(s, d), "row_id", "prompt_name", splits.manifest_ratios(table(s, d, "split_manifest"))),
         "p5_found": lambda s, d: neardup.found(_essays(s, d), "row_id", "text"),
@@ -41,4 +41,6 @@ def queries() -> dict[str, Query]:
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text"),
         "p9_items": lambda s, d: leaks.leaked_items(
             leaks.found(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text"), table(s, d, "eval_item"), "item_id"),
+        "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
+        "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
