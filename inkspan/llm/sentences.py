@@ -29,7 +29,9 @@ TITLES = frozenset("dr mr mrs ms prof sr sra srta d dña m mm mme mlle fr hr her
 INNER = frozenset("approx ca vs etc bzw i.e e.g z b d.h h u.a co bros inc ltd sept oct nov dec jan feb aug p ej p.ej a.m p.m ph.d lb kg".split())
 
 _BLANK = regex.compile(r"\n[^\S\n]*(?:\p{Cf}[^\S\n]*)*\n\s*")
-_RUN = regex.compile(rf"[{regex.escape(MARKS)}]+(?:[^\S\n]+[!?](?=\s|$))?")
+#: Marks that end a sentence wherever they stand outside quotations; a bar written for the danda is one of them.
+SURE = WIDE + "।॥؟۔|"
+_RUN = regex.compile(rf"(?:[{regex.escape(MARKS)}]|(?<=\p{{Devanagari}})\s?\|)+(?:[^\S\n]+[!?](?=\s|$))?")
 _THAI = regex.compile(r"\p{Thai}")
 _CF = regex.compile(r"\p{Cf}")
 _LEFT = regex.compile(r"[^\s\"“„«「『(（\[]*$")
@@ -100,7 +102,7 @@ class Candidate:
 def _plain(t: str, c: Candidate) -> bool:
     """Whether a run of marks may be a boundary at all, by what touches it."""
     nxt = t[c.end : c.end + 1]
-    if not nxt or nxt.isspace() or c.mark[-1] in WIDE + "।॥؟۔" or c.mark[0] in "…" and not nxt.isalnum():
+    if not nxt or nxt.isspace() or c.mark[-1] in SURE or c.mark[0] in "…" and not nxt.isalnum():
         return True
     if nxt in ",;:،؛،、，；：-–—)’'":
         return False
@@ -150,7 +152,7 @@ def paragraph_ends(t: str, w: np.ndarray | None) -> list[int]:
             continue
         if not _plain(t, c):
             continue
-        if w is None or w[c.features()].sum() > 0:
+        if w is None or m.group()[-1] in SURE or w[c.features()].sum() > 0:
             e = _closed(t, m.end()) if '"' not in t[m.end() : m.end() + 1] else m.end()
             out.append(e)
             start = e
@@ -223,7 +225,10 @@ def examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
                 title = l in TITLES or (len(l) == 1 and l.isalpha() and c.mark == "." and l not in "imh")
                 low = r[:1].islower() or r[:1].isdigit()
                 seldom = first.get(r.lower(), 0) == 0
-                if (title and c.mark == ".") or (low and l in INNER) or (low and seldom) or (l.isdigit() and c.mark == "." and r[:1].isupper() and seldom):
+                if c.mark[-1] in SURE:
+                    continue
+                pause = len(c.mark) > 2 or c.mark == "…" or len(l) < 3
+                if (title and c.mark == ".") or (low and l in INNER) or (low and seldom and pause and r[:1].isalpha()) or (l.isdigit() and c.mark == "." and r[:1].isupper() and seldom):
                     xs.append(c.features())
                     ys.append(0)
                 elif not title and l not in INNER and len(l) > 2 and not l.isdigit() and not seldom and (r[:1].isupper() or _script(r) != "lat") and len(c.mark) < 2:
