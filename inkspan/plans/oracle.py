@@ -1,2 +1,264 @@
-def oracle_sql():
-    return {}
+"""SQL equivalents of the queries, written for DuckDB from the definitions."""
+
+from __future__ import annotations
+
+from inkspan.functions import lexicon as L
+from inkspan.functions import normalize as N
+from inkspan.operators.corpus import MINHASH_SEED
+from inkspan.operators.evidence import FAMILY_PREFIXES
+from inkspan.plans.queries import COEFS
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def lst(xs: list[str]) -> str:
+    return "[" + ", ".join(map(q, xs)) + "]"
+
+
+BL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+NORM = f"regexp_replace(translate(replace(text, chr(13) || chr(10), ' ' || chr(10)), {q(N.TABLE_FROM)}, {q(N.TABLE_TO)}), {q(N.CONTROLS)}, ' ', 'g')"
+CANON = r"trim(regexp_replace(text, '[\s\x0b\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g'))"
+NWORDS = f"case when {CANON} = '' then 0 else len(string_split({CANON}, ' ')) end"
+
+DOCS = "docs as (select row_id as essay_id, text, label, prompt_name, generator, split, ell_status from train_v2_drcat_02 where text is not null)"
+PARAS = rf"""
+tiles as (select essay_id, unnest(regexp_extract_all({NORM}, '(?s).+?(?:' || {q(N.PARAGRAPH_BREAK)} || '|\z)', 0)) as tile, generate_subscripts(regexp_extract_all({NORM}, '(?s).+?(?:' || {q(N.PARAGRAPH_BREAK)} || '|\z)', 0), 1) as k from docs),
+placed as (select essay_id, k, tile, coalesce(sum(length(tile)) over (partition by essay_id order by k rows between unbounded preceding and 1 preceding), 0) as pos0 from tiles),
+paras as (select essay_id, row_number() over (partition by essay_id order by k) - 1 as para_idx, trim(tile, {BL}) as para, (pos0 + length(tile) - length(ltrim(tile, {BL})))::int as para_start from placed where trim(tile, {BL}) <> '')
+"""
+SENTS = rf"""
+shielded as (select essay_id, para_idx, para_start, regexp_replace(regexp_replace(para, {q(N.ABBREVIATION)}, '\1\2' || chr(1), 'g'), {q(N.DECIMAL)}, '\1' || chr(1) || '\2', 'g') as p from paras),
+pieces as (select essay_id, para_idx, para_start, unnest(regexp_extract_all(p, {q(N.SENTENCE)}, 0)) as tile, generate_subscripts(regexp_extract_all(p, {q(N.SENTENCE)}, 0), 1) as k from shielded),
+offs as (select *, para_start + coalesce(sum(length(tile)) over (partition by essay_id, para_idx order by k rows between unbounded preceding and 1 preceding), 0) as pos0 from pieces),
+cut as (select essay_id, para_idx, k, replace(trim(tile, {BL}), chr(1), '.') as text, (pos0 + length(tile) - length(ltrim(tile, {BL})))::int as start_char from offs where trim(tile, {BL}) <> ''),
+sents as (select essay_id, (row_number() over (partition by essay_id order by para_idx, k) - 1)::int as sent_idx, para_idx::int as para_idx, text, start_char, (start_char + length(text))::int as end_char,
+  regexp_extract_all(lower(text), {q(N.WORD)}, 0) as w from cut),
+f as (select *, len(w)::int as wn, len(w) >= 5 as is_scorable, len(regexp_extract_all(text, {q(N.PUNCTUATION)}, 0)) as pn, len(w) + len(regexp_extract_all(text, {q(N.PUNCTUATION)}, 0)) as tn from sents)
+"""
+BASE = f"with {DOCS}, {PARAS}, {SENTS} "
+
+
+def div(a: str, b: str) -> str:
+    return f"(({a})::double / nullif(({b})::double, 0))"
+
+
+def cnt(cond: str) -> str:
+    return f"len(list_filter(w, lambda x: {cond}))"
+
+
+def has(xs: list[str]) -> str:
+    return f"list_contains({lst(xs)}, x)"
+
+
+def occ(chars: str) -> str:
+    t = "text"
+    for c in chars:
+        t = f"replace({t}, {q(c)}, '')"
+    return f"length(text) - length({t})"
+
+
+HIST = "map_values(list_histogram(w))"
+GRAM2 = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+GRAM3 = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+
+
+def rep(g: str) -> str:
+    return f"case when len(w) >= 2 then (coalesce(list_sum(list_filter(map_values(list_histogram({g})), lambda c: c > 1)), 0))::double / nullif(len({g}), 0) end"
+
+
+CLOSED = L.PRONOUNS + L.ADPOSITIONS + L.CONJUNCTIONS + L.SUBORDINATORS + L.DETERMINERS + L.AUXILIARIES + L.MODALS
+ADJ = "(ful|less|ous|ive|able|al|ic)$"
+CLAUSE = cnt(has(L.SUBORDINATORS + L.CONJUNCTIONS)) + " + 1"
+
+FEATURES: dict[str, dict[str, str]] = {
+    "structure": {"struct_token_count": "wn::double", "struct_character_count": "length(text)::double", "struct_mean_character_per_token": div("length(text)", "wn")},
+    "lexical": {
+        "lex_token_count": "wn::double", "lex_unique_count": "len(list_distinct(w))::double", "lex_ttr": div("len(list_distinct(w))", "wn"),
+        "lex_root_ttr": "(len(list_distinct(w))::double / nullif(sqrt(wn::double), 0))",
+        "lex_hapax_ratio": div(f"len(list_filter({HIST}, lambda c: c = 1))", "wn"), "lex_repeated_word_ratio": div("wn - len(list_distinct(w))", "wn"),
+        "lex_mean_word_length": div("length(array_to_string(w, ''))", "wn"), "lex_stopword_ratio": div(cnt(has(L.STOPWORDS)), "tn"),
+        "lex_content_word_ratio": div(cnt("not " + has(L.STOPWORDS)), "tn"), "lex_long_word_ratio": div(cnt("length(x) >= 7"), "wn"),
+    },
+    "punctuation": {
+        **{f"punct_{k}_density": div(occ(v), "tn") for k, v in {"comma": ",", "semicolon": ";", "colon": ":", "period": ".", "question": "?", "exclamation": "!", "dash": "-", "quote": "\"'", "parenthesis": "()"}.items()},
+        "punct_total_density": div("pn", "tn"), "punct_ellipsis_count": "((length(text) - length(replace(text, '...', ''))) / 3 + length(text) - length(replace(text, '…', '')))::double",
+    },
+    "repetition": {
+        "rep_repeated_bigram_ratio": rep(GRAM2), "rep_repeated_trigram_ratio": rep(GRAM3),
+        "rep_adjacent_duplicate_ratio": div("len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))", "wn"), "rep_max_word_frequency": div(f"list_max({HIST})", "wn"),
+    },
+    "formulaic": {
+        "form_opens_with_connective": f"case when list_contains({lst(L.CONNECTIVES)}, lower(trim(regexp_extract(text, '^([^,]{{1,40}}),', 1)))) or coalesce(list_contains({lst(L.CONNECTIVES)}, w[1]), false) then 1.0::double else 0.0::double end",
+        "form_has_fronted_adverbial": f"case when coalesce(list_contains({lst(L.ADPOSITIONS + L.SUBORDINATORS)}, w[1]) or regexp_matches(w[1], 'ly$'), false) and regexp_matches(text, '^[^,]{{1,60}},') then 1.0::double else 0.0::double end",
+        "form_connective_density": div(cnt(has([x for x in L.CONNECTIVES if " " not in x])), "wn"), "form_hedge_density": div(cnt(has(L.HEDGES + L.MODALS)), "wn"),
+        "form_nominalization_density": div(cnt(f"length(x) >= 7 and regexp_matches(x, '({'|'.join(L.NOMINAL_SUFFIXES)})$')"), "wn"),
+        "form_specificity_density": div(r"len(regexp_extract_all(text, '\s\p{Lu}[\p{L}\p{N}]*|[0-9]+', 0))", "wn"),
+    },
+    "syntax": {
+        "syn_pron_ratio": div(cnt(has(L.PRONOUNS)), "wn"), "syn_adp_ratio": div(cnt(has(L.ADPOSITIONS)), "wn"), "syn_cconj_ratio": div(cnt(has(L.CONJUNCTIONS)), "wn"),
+        "syn_adv_ratio": div(cnt("regexp_matches(x, 'ly$') and length(x) > 3"), "wn"), "syn_verb_ratio": div(cnt(f"{has(L.AUXILIARIES + L.MODALS)} or (regexp_matches(x, '(ed|ing)$') and length(x) > 4)"), "wn"),
+        "syn_adj_ratio": div(cnt(f"regexp_matches(x, '{ADJ}') and length(x) > 4"), "wn"),
+        "syn_noun_ratio": div(cnt(f"not {has(CLOSED)} and not regexp_matches(x, '(ly|ed|ing|ful|less|ous|ive|able|al|ic)$') and regexp_matches(x, '^\\p{{L}}')"), "wn"),
+        "syn_propn_ratio": div(r"len(regexp_extract_all(text, '\s\p{Lu}[\p{L}]*', 0))", "wn"), "syn_first_person_ratio": div(cnt(has(L.FIRST_PERSON)), "wn"),
+        "syn_clause_count": f"({CLAUSE})::double", "syn_clauses_per_token": div(CLAUSE, "wn"),
+        "syn_max_dependency_depth": "null::double", "syn_mean_dependency_depth": "null::double", "syn_mean_branching_factor": "null::double",
+    },
+}
+ALL = {k: v for fam in FEATURES.values() for k, v in fam.items()}
+
+
+def _family(name: str) -> str:
+    return BASE + "select essay_id, sent_idx, is_scorable, " + ", ".join(f"round({v}, 6) as {k}" for k, v in FEATURES[name].items()) + " from f"
+
+
+LENGTHS = "steps as (select essay_id, wn, abs(wn - lag(wn) over (partition by essay_id order by sent_idx)) as step from f)"
+RHYTHM = """r as (select essay_id, count(*) as n, avg(wn) as m, stddev_pop(wn) as sd, avg(step) as msd from steps group by 1)"""
+RHYTHM_COLS = """round(m, 6) as rhythm_mean_length, round(case when n >= 4 then sd end, 6) as rhythm_length_std, round(case when n >= 4 then sd / nullif(m, 0) end, 6) as rhythm_coefficient_of_variation,
+ round(case when n >= 4 then (sd - m) / nullif(sd + m, 0) end, 6) as rhythm_burstiness, round(case when n >= 4 then msd end, 6) as rhythm_mean_successive_difference, round(case when n >= 4 then msd / nullif(m, 0) end, 6) as rhythm_normalized_successive_difference"""
+SUMMARISED = ("lex_ttr", "lex_stopword_ratio", "syn_first_person_ratio", "syn_clauses_per_token", "punct_total_density", "punct_comma_density", "form_hedge_density", "form_nominalization_density", "form_specificity_density")
+
+SCORES = """ev as (select row_id, sum(contribution) as z from signal_evidence group by 1),
+sc as (select t.row_id as essay_id, label, generator, prompt_name, ell_status, split, round(1 / (1 + exp(-z)), 4) as p from train_v2_drcat_02 t join ev using (row_id) where label is not null)"""
+SS = """ss as (select row_id, sentence_index, label, prompt_name, case when is_scorable and v is not null and not isnan(v) and v between 0 and 1 then v end as score from (select *, feature_values['lex_ttr'] as v from sentence_features))"""
+WIDE_NAMES = ("lex_ttr", "lex_mtld", "punct_comma_density", "pred_cross_entropy", "form_hedge_density", "rep_repeated_word_ratio")
+WIDE = "wide as (select row_id, sentence_index, label, is_scorable, " + ", ".join(f"case when not isnan(feature_values['{n}']) and abs(feature_values['{n}']) < 1e6 then feature_values['{n}'] end as {n}" for n in WIDE_NAMES) + " from sentence_features)"
+FAM = "case " + " ".join(f"when starts_with(ff, {q(p)}) then {q(n)}" for p, n in FAMILY_PREFIXES) + " else 'Other' end"
+STRIP = "regexp_replace(regexp_replace(measured_feature, '__missing$', ''), '^(docmean_|docstd_|doc_)', '')"
+SIGNALS = f"""fe as (select row_id, measured_feature, contribution, {FAM} as fam from (select *, {STRIP} as ff from signal_evidence where contribution is not null and not isnan(contribution))),
+sg as (select row_id, fam, round(sum(contribution), 6) as contribution, min(struct_pack(a := -abs(contribution), f := measured_feature)).f as strongest_feature from fe group by 1, 2),
+sr as (select row_id, fam as family, contribution, case when contribution > 0 then 'machine' else 'human' end as direction, strongest_feature, row_number() over (partition by row_id order by abs(contribution) desc, fam) as rank from sg where abs(contribution) >= 0.05)"""
+_COEF_COLS = sorted({k.removesuffix("__missing") for k in COEFS})
+STATS = f"with {WIDE}, tr as (select * from wide where is_scorable and label is not null), long as (unpivot (select {', '.join(_COEF_COLS)} from tr) on {', '.join(_COEF_COLS)} into name feature value value), tot as (select count(*) as t from tr), " + """
+kept as (select feature, quantile_cont(value, 0.5) as median, count(*) as n, any_value(t) as t from long, tot group by feature having count(*) >= 0.3 * any_value(t) and var_samp(value) >= 1e-10),
+st as (select feature, median, (sum(value) + (any_value(t) - count(*)) * median) / any_value(t) as mean, n < t as has_indicator, any_value(t) as t from long join kept using (feature) group by feature, median, n, t),
+sd as (select feature, median, mean, sqrt((sum((value - mean) ** 2) + (any_value(t) - count(*)) * (any_value(median) - any_value(mean)) ** 2) / any_value(t)) as sd0, has_indicator from long join st using (feature) group by feature, median, mean, has_indicator),
+stats as (select feature, median, mean, case when sd0 > 0 then sd0 else 1.0 end as sd, has_indicator from sd)"""
+_TERMS = f"""
+cells as ({" union all ".join(f"select row_id, sentence_index, '{c}' as feature, {c} as value from wide" for c in _COEF_COLS)}),
+coef(feature, b) as (values {', '.join(f"('{k}', {v}::double)" for k, v in COEFS.items())}),
+terms as (
+ select c.row_id, c.sentence_index, c.feature, co.b * (coalesce(c.value, s.median) - s.mean) / s.sd as x from cells c join stats s using (feature) join coef co on co.feature = c.feature
+ union all select c.row_id, c.sentence_index, c.feature || '__missing', co.b * (c.value is null)::int from cells c join stats s using (feature) join coef co on co.feature = c.feature || '__missing' where s.has_indicator)"""
+_LOGIT = "-0.1" + "".join(
+    f" + {v} * coalesce((({c} is null)::int * (select has_indicator::int from stats where feature = '{c}')), 0)" if k.endswith("__missing")
+    else f" + {v} * coalesce((select (coalesce({c}, median) - mean) / sd from stats where feature = '{c}'), 0)"
+    for k, v in COEFS.items() for c in [k.removesuffix("__missing")])
+ORDER = "('0x' || substring(md5(row_id::varchar || ':{0}'), 1, 8))::bigint".format(MINHASH_SEED)
+Z = 1.96
+
+
+def wilson(k: str, n: str) -> tuple[str, str]:
+    p = f"({k}::double / {n})"
+    half = f"{Z} * sqrt({p} * (1 - {p}) / {n} + {Z * Z / 4} / ({n}::double * {n}))"
+    den = f"(1 + {Z * Z} / {n})"
+    mid = f"({p} + {Z * Z / 2} / {n})"
+    return f"greatest(0.0, ({mid} - {half}) / {den})", f"least(1.0, ({mid} + {half}) / {den})"
+
+
+def rates(where: str, by: str) -> str:
+    lo, hi = wilson("flagged", "n")
+    return f"""with {SCORES}, g as (select {by}, case when label = 1 then 'machine' else 'human' end as kind, count(*) as n, count(*) filter (p >= 0.5) as flagged, avg(p) as mp from sc where {where} group by 1, 2)
+    select {by}, kind, n, flagged, round(flagged::double / n, 6) as rate, round({lo}, 6) as ci_low, round({hi}, 6) as ci_high, round(mp, 6) as mean_p from g"""
+
+
+BINS = " + ".join(f"(p >= {i / 10!r})::int" for i in range(1, 10))
+RELIABILITY = f"with {SCORES}, rel as (select {BINS} as bin, count(*) as n, round(avg(p), 6) as mean_predicted, round(avg(label), 6) as observed from sc where p between 0 and 1 group by 1) "
+AUC = """select {by} round(sum(pp * (below + qq / 2.0)) / nullif((sum(pp) * sum(qq))::double, 0), 6) as auc from (
+ select {by} pp, qq, coalesce(sum(qq) over ({part} order by v rows between unbounded preceding and 1 preceding), 0) as below from (
+  select {by} {v} as v, count(*) filter (label = 1) as pp, count(*) filter (label <> 1) as qq from {src} where label is not null and {v} is not null group by all)) {grp}"""
+LM = f"""{BASE}, human as (select essay_id from docs where label = 0 and split = 'train'),
+vocab as (select w1 as w, n from (select unnest(w) as w1, count(*) as n from f where essay_id in (select essay_id from human) group by 1) order by n desc, w limit 50000),
+tok0 as (select essay_id, sent_idx, unnest(w) as raw, generate_subscripts(w, 1) as pos from f),
+tok1 as (select essay_id, sent_idx, pos, coalesce(v.w, '<unk>') as w from tok0 left join vocab v on v.w = raw),
+tok as (select *, lag(w, 1, '<s>') over o as w1, lag(w, 2, '<s>') over o as w2 from tok1 window o as (partition by essay_id, sent_idx order by pos)),
+fitt as (select * from tok where essay_id in (select essay_id from human)),
+uni as (select w, count(*) as n from fitt group by 1), bi as (select w1, w, count(*) as n from fitt group by 1, 2), c1 as (select w1, count(*) as n from fitt group by 1),
+tri as (select w2, w1, w, count(*) as n from fitt group by 1, 2, 3 having count(*) >= 2), c2 as (select w2, w1, count(*) as n from fitt group by 1, 2)"""
+KEY = rf"sha256(lower({CANON}))"
+
+
+def oracle_sql() -> dict[str, str]:
+    doc = [f"round(avg({k}), 6) as docmean_{k}, round(case when count({k}) > 1 then stddev_pop({k}) end, 6) as docstd_{k}" for k in SUMMARISED]
+    one = "count(*) filter (label = 1 and p >= 0.5) as tp, count(*) filter (label <> 1 and p >= 0.5) as fp, count(*) filter (label <> 1 and p < 0.5) as tn, count(*) filter (label = 1 and p < 0.5) as fn"
+    out = {
+        "proj_canonical": f"""select row_id as essay_id, substring(sha256({CANON}), 1, 16) as content_id, ({NWORDS})::int as n_words, length(text)::int as n_chars, nullif(trim(ell_status), '') as ell_status,
+            ({NWORDS}) between 50 and 1000 as in_band, length(text) between 1 and 100000 and {CANON} <> '' as accepted from train_v2_drcat_02 where text is not null""",
+        "n_normalized": f"select row_id as essay_id, sha256({NORM}) as digest, length({NORM}) = length(text) as same_length from train_v2_drcat_02 where text is not null",
+        "n_paragraphs": f"with {DOCS}, {PARAS} select essay_id, para_idx::int as para_idx, para, para_start from paras",
+        "n_sentences": BASE + "select essay_id, sent_idx, para_idx, text, start_char, end_char, wn as token_count, is_scorable from f",
+        "n_first_sentences": BASE + "select essay_id, string_agg(text, ' ' order by sent_idx) as text from f where sent_idx < 3 group by 1 having count(*) = 3",
+        "n_retokenized": BASE + f", n as (select essay_id, {NORM} as n from docs) select essay_id, sent_idx, len(regexp_extract_all(lower(substring(n, start_char + 1, end_char - start_char)), {q(N.WORD)}, 0))::int as n_words, md5(substring(n, start_char + 1, end_char - start_char)) as digest from f join n using (essay_id)",
+        **{f"f_{name}": _family(name) for name in FEATURES},
+        "c_context": BASE + f""", b as (select *, count(*) over d as ns, avg(wn) over d as m, stddev_pop(wn) over d as sd, count(*) over (partition by essay_id, array_to_string(w[1:4], ' ')) as same from f window d as (partition by essay_id)),
+            v as (select essay_id, sent_idx, avg((k > 1)::int) as e from (select *, count(*) over (partition by essay_id, x) as k from (select essay_id, sent_idx, unnest(list_distinct(w)) as x from f)) group by 1, 2),
+            g as (select essay_id, sent_idx, avg((k > 1)::int) as e from (select *, count(*) over (partition by essay_id, x) as k from (select essay_id, sent_idx, unnest(list_distinct({GRAM2})) as x from f)) group by 1, 2)
+            select b.essay_id, b.sent_idx, round((wn - m) / nullif(sd, 0), 6) as structctx_length_z_score, round(wn / nullif(m, 0), 6) as structctx_length_ratio,
+            round(case when ns > 1 then case when wn = 0 then 0.0::double else (same - 1)::double / (ns - 1) end end, 6) as repctx_template_echo,
+            round(case when ns > 1 then v.e end, 6) as repctx_vocabulary_echo, round(case when ns > 1 then g.e end, 6) as repctx_bigram_echo
+            from b left join v using (essay_id, sent_idx) left join g using (essay_id, sent_idx)""",
+        "w_rhythm": BASE + f", {LENGTHS}, {RHYTHM} select essay_id, {RHYTHM_COLS} from r",
+        "w_windows": BASE + """select essay_id, start_idx, end_idx, round(m, 6) as mean_length, round(sd, 6) as length_std from (select essay_id, sent_idx as start_idx, last_value(sent_idx) over o as end_idx, count(*) over o as k, avg(wn) over o as m, stddev_pop(wn) over o as sd
+            from f window o as (partition by essay_id order by sent_idx rows between current row and 3 following)) where k = 4""",
+        "w_passages": f"""with {SS}, x as (select row_id, sentence_index, max(score) as score from ss group by 1, 2) select row_id, start_idx, end_idx, round(a, 6) as score from (
+            select row_id, sentence_index as start_idx, last_value(sentence_index) over o as end_idx, count(*) over o as k, avg(score) over o as a from x window o as (partition by row_id order by sentence_index rows between current row and 3 following)) where k = 4 and a is not null""",
+        "g_document_features": BASE + f""", {LENGTHS}, {RHYTHM}, sf as (select essay_id, w, wn, {', '.join(f'{ALL[k]} as {k}' for k in SUMMARISED)} from f),
+            dd as (select essay_id, sum(wn)::double as doc_token_count, len(list_distinct(flatten(list(w))))::double as doc_unique_count, count(*)::double as doc_sentence_count, {', '.join(doc)} from sf group by 1)
+            select dd.*, round(doc_unique_count / nullif(doc_token_count, 0), 6) as doc_ttr, {RHYTHM_COLS} from dd join r using (essay_id)""",
+        "lm_trigrams": LM + " select w2, w1, w, n from tri",
+        "lm_scores": LM + """, t as (select sum(n)::double as total from uni), vs as (select count(*)::double as v from vocab)
+            select essay_id, sent_idx, round(avg(bits), 4) as pred_cross_entropy, round(pow(2, avg(bits)), 4) as pred_perplexity from (
+             select tok.essay_id, tok.sent_idx, -log2(0.5 * coalesce(tri.n::double / c2.n, 0) + 0.3 * coalesce(bi.n::double / c1.n, 0) + 0.2 * (coalesce(uni.n, 0) + 0.4) / (total + 0.4 * (v + 1))) as bits
+             from tok cross join t cross join vs left join uni on uni.w = tok.w left join bi on bi.w1 = tok.w1 and bi.w = tok.w left join c1 on c1.w1 = tok.w1
+             left join tri on tri.w2 = tok.w2 and tri.w1 = tok.w1 and tri.w = tok.w left join c2 on c2.w2 = tok.w2 and c2.w1 = tok.w1) group by 1, 2""",
+        "d_exact": f"select row_id as essay_id, min(row_id) over (partition by {KEY}) as kept_id from train_v2_drcat_02 where text is not null",
+        "s_cells": f"select row_id as essay_id, prompt_name, label from (select *, row_number() over (partition by prompt_name, label order by {ORDER}, row_id) as r from train_v2_drcat_02) where r <= 5",
+        "s_matched": f"""with t as (select * from train_v2_drcat_02 where split = 'test'), n as (select prompt_name, count(*) filter (ell_status = 'Yes') as y, count(*) filter (ell_status = 'No') as x from t group by 1)
+            select prompt_name, ell_status, essay_id from (select prompt_name, ell_status, row_id as essay_id, row_number() over (partition by prompt_name, ell_status order by {ORDER}, row_id) as r from t where ell_status in ('Yes', 'No')) join n using (prompt_name) where r <= least(x, y)""",
+        "s_hash": "select sha256(string_agg(prompt_name || chr(9) || split, chr(10) order by prompt_name || chr(9) || split)) as split_hash from (select prompt_name, min(split) as split from train_v2_drcat_02 where split is not null and prompt_name is not null group by 1)",
+        "s_validation": """with g as (select * from train_v2_drcat_02 where split is not null), k as (select prompt_name, count(distinct split) as k from g group by 1),
+            per as (select a.split, count(*) filter (k.k > 1) as shared_groups from (select distinct prompt_name, split from g) a join k on a.prompt_name is not distinct from k.prompt_name group by 1)
+            select split, count(*) as n_rows, count(distinct prompt_name) as n_groups, count(distinct label) > 1 as both_classes, count(distinct case when label = 1 then generator end) as machine_generators, any_value(shared_groups) as shared_groups from g join per using (split) group by 1""",
+        "s_counts": "select split, generator, count(*) as n, count(distinct prompt_name) as n_prompts from train_v2_drcat_02 group by 1, 2",
+        "m_statistics": STATS + " select feature, round(median, 5) as median, round(mean, 5) as mean, round(sd, 5) as sd, has_indicator from stats",
+        "m_linear": STATS + f" select row_id, sentence_index, round(1 / (1 + exp(-({_LOGIT}))), 6) as p from wide",
+        "m_contributions": STATS + "," + _TERMS + " select row_id, feature, round(sum(x), 5) as contribution from terms group by 1, 2",
+        "a_score_summary": f"""with {SS}, g as (select row_id, avg(score) as m, stddev_pop(score) as sd, min(score) as lo, max(score) as hi, quantile_cont(score, [0.1, 0.25, 0.5, 0.75, 0.9]) as qs, avg((score >= 0.6)::int) as hr, count(*) as n from ss where score is not null group by 1),
+            t as (select row_id, avg(score) as top from ss join g using (row_id) where score >= qs[4] group by 1)
+            select row_id, round(m, 6) as sentscore_mean, round(sd, 6) as sentscore_std, round(lo, 6) as sentscore_min, round(hi, 6) as sentscore_max, round(qs[1], 6) as sentscore_q10, round(qs[2], 6) as sentscore_q25, round(qs[3], 6) as sentscore_q50, round(qs[4], 6) as sentscore_q75, round(qs[5], 6) as sentscore_q90,
+            round(hr, 6) as sentscore_high_risk_fraction, n as sentscore_scorable_count, round(hi - lo, 6) as sentscore_range, round(top, 6) as sentscore_top_quartile_mean from g join t using (row_id)""",
+        "a_confidence": f"""with {SS}, g as (select row_id, count(score) as n, count(*) as t, coalesce(stddev_pop(score), 0) as sd from ss group by 1), c as (select row_id, case when n = 0 then 0.0::double else least(1.0, n / 12.0::double) * n / t * (1 - least(1.0, 2 * sd)) end as c from g)
+            select row_id, round(c, 6) as confidence, case when c <= 0.34 then 'low' when c >= 0.67 then 'high' else 'medium' end as confidence_band from c""",
+        "a_metrics": f"""with {SCORES}, g as (select {one}, avg((p - label) ** 2) as b from sc), h as (select *, coalesce(tp::double / nullif(tp + fp, 0), 0) as pr, coalesce(tp::double / nullif(tp + fn, 0), 0) as rc from g)
+            select tp, fp, tn, fn, round((tp + tn)::double / nullif(tp + fp + tn + fn, 0), 6) as accuracy, round(pr, 6) as precision, round(rc, 6) as recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) as f1,
+            round(fp::double / nullif(fp + tn, 0), 6) as fpr, round(fn::double / nullif(fn + tp, 0), 6) as fnr, round(case when tp + fn > 0 and fp + tn > 0 then b end, 6) as brier from h""",
+        "a_auc": f"with {SCORES} " + AUC.format(by="", part="", v="p", src="sc", grp=""),
+        "a_separation": f"with {WIDE}, long as ({" union all ".join(f"select label, '{c}' as feature, {c} as value from wide" for c in WIDE_NAMES)}), au as (" + AUC.format(by="feature,", part="partition by feature", v="value", src="long", grp="group by feature") + """),
+            d as (select feature, count(value) filter (label = 1) as n1, count(value) filter (label = 0) as n0, avg(value) filter (label = 1) as m1, avg(value) filter (label = 0) as m0, var_samp(value) filter (label = 1) as v1, var_samp(value) filter (label = 0) as v0, count(value) as k, count(*) as t from long where label is not null group by 1)
+            select feature, auc, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as cohens_d, round(m1, 6) as machine_mean, round(m0, 6) as human_mean, round(k::double / t, 6) as defined_fraction from au join d using (feature) where k::double / t >= 0.5""",
+        "a_reliability": RELIABILITY + "select bin, n, mean_predicted, observed from rel",
+        "a_ece": RELIABILITY + "select round(sum(n * abs(mean_predicted - observed)) / sum(n)::double, 6) as ece from rel",
+        "a_generator_rates": rates("true", "generator"),
+        "a_fairness": rates("label = 0 and ell_status is not null", "ell_status"),
+        "a_pivot": f"with {SCORES} select split, round(avg(p) filter (label = 0), 6) as human, round(avg(p) filter (label = 1), 6) as machine from sc group by 1",
+        "a_buckets": f"with {SCORES} select case when p <= 0.35 then 'a' when p <= 0.45 then 'b' when p <= 0.55 then 'c' else 'd' end as bucket, count(*) as n, round(avg(p), 6) as mean_p from sc group by 1",
+        "a_reference": f"with {WIDE}, long as (unpivot (select lex_ttr, lex_mtld, pred_cross_entropy, punct_comma_density from wide where label = 0 and is_scorable) on lex_ttr, lex_mtld, pred_cross_entropy, punct_comma_density into name feature value value) select feature, round(avg(value), 5) as mean, round(stddev_pop(value), 5) as sd from long group by 1",
+        "a_bands": f"with {SS}, b as (select *, round_even(score * 100, 0) as s from ss) select case when s is null then 'not_scored' when s <= 35 then 'low' when s >= 65 then 'high' else 'medium' end as band, count(*) as n, round(avg(score), 6) as mean_score from b group by 1",
+        "a_failures": f"with {SCORES} select essay_id, label, p, round(abs(p - label), 4) as distance from sc where (p >= 0.5) <> (label = 1) order by distance desc, essay_id limit 3",
+        "e_signals": f"with {SIGNALS} select row_id, family, contribution, direction, strongest_feature, rank::int as rank from sr where rank <= 6",
+        "e_described": f"""with ref as (select measured_feature, avg(measured_value) as m, stddev_pop(measured_value) as sd from signal_evidence where direction = 'human' and measured_value is not null and not isnan(measured_value) and abs(measured_value) < 1e6 group by 1),
+            j as (select evidence_id, contribution, {STRIP} as ff, round((measured_value - m) / nullif(sd, 0), 3) as z from signal_evidence left join ref using (measured_feature) where measured_value is null or (not isnan(measured_value) and abs(measured_value) < 1e6))
+            select evidence_id, {FAM} as family, z, case when z is null then case when contribution > 0 then 'above typical' else 'below typical' end when abs(z) >= 2 then 'far ' || case when z > 0 then 'above' else 'below' end || ' the human average'
+            when abs(z) >= 1 then 'noticeably ' || case when z > 0 then 'above' else 'below' end || ' the human average' else 'close to the human average' end as descriptor from j""",
+        "e_verdicts": f"""with {SCORES}, n as (select row_id as essay_id, count(*) filter (is_scorable) as n from sentence_features group by 1), j as (select essay_id, coalesce(n, 0) as n, round_even(p * 100, 0)::int as risk from sc left join n using (essay_id))
+            select essay_id, risk, case when risk <= 35 then 'low' when risk >= 65 then 'high' else 'medium' end as band, case when n < 5 then 'insufficient_text' when risk <= 35 then 'likely_human' when n < 12 then 'mixed_signals' when risk >= 65 then 'likely_machine' else 'mixed_signals' end as assessment from j""",
+        "e_explanations": f"""with {SCORES}, {SIGNALS}, want as (select essay_id, case when p >= 0.5 then 'machine' else 'human' end as want from sc),
+            l as (select essay_id, want, coalesce(list(family order by rank) filter (direction = want), []) as yes, coalesce(list(family order by rank) filter (direction <> want), []) as no from want left join (select * from sr where rank <= 6) s on s.row_id = essay_id group by 1, 2)
+            select essay_id, concat_ws(' ', case when len(yes) > 0 then yes[1] || ' points most strongly to ' || want || ' writing.' else 'No single signal stands out.' end,
+            case when len(yes) > 1 then 'Also: ' || array_to_string(yes[2:3], ', ') || '.' end, case when len(no) > 0 then 'Against: ' || no[1] || '.' end) as explanation from l""",
+        "j_overlap": BASE + """, spans as (select distinct row_id as essay_id, start_char as s, end_char as e from sentence where is_scorable), ours as (select * from f where essay_id in (select row_id from sentence)),
+            o as (select ours.essay_id, sent_idx, any_value(start_char) as a, any_value(end_char) as b, coalesce(sum(greatest(0, least(end_char, e) - greatest(start_char, s))), 0) as o from ours left join spans using (essay_id) group by 1, 2)
+            select essay_id, sent_idx, round(coalesce(o::double / nullif(b - a, 0), 0), 6) as overlap, coalesce(o::double / nullif(b - a, 0), 0) > 0.5 as is_rewritten from o""",
+    }
+    return out

@@ -1,2 +1,248 @@
-def queries():
-    return {}
+"""Named queries over the test tables; each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkspan.functions import features as X
+from inkspan.functions import normalize as N
+from inkspan.operators import corpus as C
+from inkspan.operators import evaluate as V
+from inkspan.operators import evidence as E
+from inkspan.operators import model as M
+from inkspan.operators import ngram as G
+from inkspan.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+ESSAYS = "train_v2_drcat_02"
+
+
+def essays(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, ESSAYS).drop("essay_id").withColumnRenamed("row_id", "essay_id")
+
+
+def sents(s: SparkSession, d: str) -> DataFrame:
+    return N.sentences(essays(s, d).filter(F.col("text").isNotNull()))
+
+
+def scores(s: SparkSession, d: str) -> DataFrame:
+    """``essay_id, label, generator, prompt_name, ell_status, p``: the logistic of the summed evidence of each essay."""
+    e = table(s, d, "signal_evidence").groupBy("row_id").agg(F.sum("contribution").alias("z"))
+    j = essays(s, d).select("essay_id", "label", "generator", "prompt_name", "ell_status", "split").join(e.withColumnRenamed("row_id", "essay_id"), "essay_id")
+    return j.filter("label is not null").withColumn("p", F.round(M.probability(F.col("z")), 4))
+
+
+def sentence_scores(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "sentence_features")
+    v = F.col("feature_values")["lex_ttr"]
+    ok = F.col("is_scorable") & v.isNotNull() & ~F.isnan(v) & v.between(0, 1)
+    return f.select("row_id", "sentence_index", "label", "prompt_name", F.when(ok, v).alias("score"))
+
+
+def wide_features(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "sentence_features")
+    names = ("lex_ttr", "lex_mtld", "punct_comma_density", "pred_cross_entropy", "form_hedge_density", "rep_repeated_word_ratio")
+    cols = [F.when(~F.isnan(F.col("feature_values")[n]) & (F.abs(F.col("feature_values")[n]) < 1e6), F.col("feature_values")[n]).alias(n) for n in names]
+    return f.select("row_id", "sentence_index", "label", "is_scorable", *cols)
+
+
+def _canonical(s: SparkSession, d: str) -> DataFrame:
+    t = essays(s, d).filter(F.col("text").isNotNull())
+    return t.select("essay_id", N.content_id("text").alias("content_id"), N.word_count("text").alias("n_words"), F.length("text").alias("n_chars"),
+                    F.nullif(F.trim("ell_status"), F.lit("")).alias("ell_status"), N.word_count("text").between(50, 1000).alias("in_band"),
+                    (F.length("text").between(1, 100_000) & (N.canonical("text") != "")).alias("accepted"))
+
+
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    t = essays(s, d).filter(F.col("text").isNotNull()).select("essay_id", "text", N.normalize("text").alias("n"))
+    return t.select("essay_id", F.sha2("n", 256).alias("digest"), (F.length("n") == F.length("text")).alias("same_length"))
+
+
+def _retokenize(s: SparkSession, d: str) -> DataFrame:
+    """Words again from the stored offsets, without segmenting."""
+    t = essays(s, d).filter(F.col("text").isNotNull()).select("essay_id", N.normalize("text").alias("n"))
+    j = sents(s, d).select("essay_id", "sent_idx", "start_char", "end_char").join(t, "essay_id")
+    cut = F.substring("n", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    return j.select("essay_id", "sent_idx", F.size(N.words(cut)).alias("n_words"), F.md5(cut).alias("digest"))
+
+
+def _features(*families: str) -> Query:
+    return lambda s, d: X.rounded(X.sentence_features(sents(s, d), *families))
+
+
+def _lm(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    sent = sents(s, d)
+    human = essays(s, d).filter("label = 0 and split = 'train'").select("essay_id")
+    return sent, G.fit(sent.join(human, "essay_id", "left_semi"))
+
+
+def _lm_scores(s: SparkSession, d: str) -> DataFrame:
+    sent, m = _lm(s, d)
+    return X.rounded(G.score(sent, m), 4)
+
+
+def _lm_counts(s: SparkSession, d: str) -> DataFrame:
+    _, m = _lm(s, d)
+    return m["trigram"].select("w2", "w1", "w", "n")
+
+
+def _folds(s: SparkSession, d: str) -> DataFrame:
+    n = essays(s, d).filter("prompt_name is not null and split = 'train'").groupBy("prompt_name").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r[0]: r[1] for r in n.limit(100_001).collect()}
+    return s.createDataFrame([(g, f, sizes[g]) for g, f in C.group_folds(sizes).items()], "prompt_name string, fold int, n bigint")
+
+
+def _separation(s: SparkSession, d: str) -> DataFrame:
+    w = wide_features(s, d)
+    names = [c for c in w.columns if c not in ("row_id", "sentence_index", "label", "is_scorable")]
+    long = w.unpivot(["label"], names, "feature", "value")
+    return V.roc_auc(long, "label", "value", ["feature"]).join(V.cohens_d(long, "label", "value", ["feature"]), "feature").filter("defined_fraction >= 0.5")
+
+
+# Fixed coefficients of the scoring query.
+COEFS = {"form_hedge_density": 0.4, "lex_mtld": -0.3, "lex_mtld__missing": 0.2, "lex_ttr": 0.8, "pred_cross_entropy": -0.6, "punct_comma_density": 0.5}
+
+
+def _matrix(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    w = wide_features(s, d)
+    stats = M.fit_statistics(w.filter("is_scorable and label is not null"), [c for c in w.columns if c in COEFS])
+    return w, stats
+
+
+def _linear(s: SparkSession, d: str) -> DataFrame:
+    w, stats = _matrix(s, d)
+    m = M.transform(w, stats, ["row_id", "sentence_index"])
+    have = {k: b for k, b in COEFS.items() if k in m.columns}
+    return m.select("row_id", "sentence_index", F.round(M.probability(M.log_odds(have, -0.1)), 6).alias("p"))
+
+
+def _contributions(s: SparkSession, d: str) -> DataFrame:
+    w, stats = _matrix(s, d)
+    m = M.transform(w, stats, ["row_id", "sentence_index"])
+    c = M.contributions(m, {k: b for k, b in COEFS.items() if k in m.columns}, ["row_id"])
+    return c.groupBy("row_id", "feature").agg(F.round(F.sum("contribution"), 5).alias("contribution"))
+
+
+def _trained(s: SparkSession, d: str) -> DataFrame:
+    w, stats = _matrix(s, d)
+    m = M.transform(w.filter("is_scorable and label is not null"), stats, ["label"])
+    coefs, b = M.fit_logistic(m, [c for c in m.columns if c != "label"])
+    return s.createDataFrame([*coefs.items(), ("intercept", b)], "feature string, coefficient double")
+
+
+def _failures(s: SparkSession, d: str) -> DataFrame:
+    x = scores(s, d).filter((F.col("p") >= 0.5) != (F.col("label") == 1))
+    return x.select("essay_id", "label", "p", F.round(F.abs(F.col("p") - F.col("label")), 4).alias("distance")).orderBy(F.desc("distance"), "essay_id").limit(3)
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "sentence_features").groupBy(F.col("row_id").alias("essay_id")).agg(F.count_if("is_scorable").alias("n"))
+    j = scores(s, d).join(n, "essay_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("risk", E.risk_score(F.col("p")))
+    return j.select("essay_id", "risk", E.risk_band(F.col("risk")).alias("band"), E.assessment(F.col("n"), F.col("risk")).alias("assessment"))
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "signal_evidence")
+    ref = e.filter("direction = 'human' and measured_value is not null and not isnan(measured_value) and abs(measured_value) < 1e6").groupBy("measured_feature").agg(F.avg("measured_value").alias("m"), F.stddev_pop("measured_value").alias("sd"))
+    j = e.join(ref, "measured_feature", "left").filter("measured_value is null or (not isnan(measured_value) and abs(measured_value) < 1e6)")
+    z = F.try_divide(F.col("measured_value") - F.col("m"), F.nullif("sd", F.lit(0.0)))
+    return j.select("evidence_id", E.family(F.col("measured_feature")).alias("family"), F.round(z, 3).alias("z"), E.descriptor(F.round(z, 3), F.col("contribution")).alias("descriptor"))
+
+
+def _explanations(s: SparkSession, d: str) -> DataFrame:
+    sig = E.signals(table(s, d, "signal_evidence").withColumnRenamed("row_id", "essay_id"), "essay_id")
+    return E.explanation(sig, scores(s, d).select("essay_id", "p"), "essay_id")
+
+
+def _response(s: SparkSession, d: str) -> DataFrame:
+    from inkspan.plans.analyze import analyze
+
+    return analyze(essays(s, d).select("essay_id", "text"), table(s, d, "signal_evidence").withColumnRenamed("row_id", "essay_id"))
+
+
+def _passages(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    x = sentence_scores(s, d).groupBy("row_id", "sentence_index").agg(F.max("score").alias("score"))
+    w = W.partitionBy("row_id").orderBy("sentence_index").rowsBetween(0, 3)
+    p = x.select("row_id", F.col("sentence_index").alias("start_idx"), F.last("sentence_index").over(w).alias("end_idx"), F.count(F.lit(1)).over(w).alias("k"), F.round(F.avg("score").over(w), 6).alias("score"))
+    return p.filter("k = 4 and score is not null").drop("k")
+
+
+def _overlap(s: SparkSession, d: str) -> DataFrame:
+    u = table(s, d, "sentence")
+    spans = u.filter("is_scorable").select(F.col("row_id").alias("essay_id"), F.col("start_char").alias("s"), F.col("end_char").alias("e")).distinct()
+    ours = sents(s, d).join(u.select(F.col("row_id").alias("essay_id")).distinct(), "essay_id", "left_semi")
+    return V.overlap_labels(ours.select("essay_id", "sent_idx", "start_char", "end_char"), spans, "essay_id")
+
+
+def _hybrids(s: SparkSession, d: str) -> DataFrame:
+    from inkspan.operators.hybrid import choose, rebuild
+
+    sent = sents(s, d)
+    human = essays(s, d).filter("label = 0 and split in ('validation', 'test')").select("essay_id")
+    return rebuild(choose(sent.join(human, "essay_id", "left_semi")), lambda c: F.upper(c))
+
+
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {
+        "proj_canonical": _canonical,
+        "n_normalized": _normalized,
+        "n_paragraphs": lambda s, d: N.paragraphs(essays(s, d).filter("text is not null")),
+        "n_sentences": sents,
+        "n_first_sentences": lambda s, d: N.first_sentences(sents(s, d), 3),
+        "n_retokenized": _retokenize,
+        "f_structure": _features("structure"),
+        "f_lexical": _features("lexical"),
+        "f_punctuation": _features("punctuation"),
+        "f_repetition": _features("repetition"),
+        "f_formulaic": _features("formulaic"),
+        "f_syntax": _features("syntax"),
+        "f_mtld": lambda s, d: X.rounded(X.with_words(sents(s, d)).select("essay_id", "sent_idx", X.mtld("w").alias("lex_mtld"))),
+        "c_context": lambda s, d: X.rounded(X.contextual_features(sents(s, d))),
+        "w_rhythm": lambda s, d: X.rounded(X.rhythm(sents(s, d))),
+        "w_windows": lambda s, d: X.rounded(X.sliding_windows(sents(s, d))),
+        "w_passages": _passages,
+        "g_document_features": lambda s, d: X.rounded(X.document_features(sents(s, d))),
+        "g_document_mtld": lambda s, d: X.rounded(X.document_mtld(sents(s, d))),
+        "lm_trigrams": _lm_counts,
+        "lm_scores": _lm_scores,
+        "d_exact": lambda s, d: C.exact_duplicates(essays(s, d)),
+        "d_near": lambda s, d: C.near_duplicates(essays(s, d).filter("text is not null")),
+        "s_cells": lambda s, d: C.sample_per_cell(essays(s, d), ["prompt_name", "label"], 5).select("essay_id", "prompt_name", "label"),
+        "s_matched": lambda s, d: C.matched_sample(essays(s, d).filter("split = 'test'"), "prompt_name", "ell_status"),
+        "s_groups": lambda s, d: C.group_splits(essays(s, d), "prompt_name"),
+        "s_hash": lambda s, d: C.split_hash_frame(essays(s, d).filter("split is not null and prompt_name is not null").groupBy("prompt_name").agg(F.min("split").alias("split")), "prompt_name"),
+        "s_validation": lambda s, d: C.validate_splits(essays(s, d)),
+        "s_folds": _folds,
+        "s_counts": lambda s, d: essays(s, d).groupBy("split", "generator").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prompt_name").alias("n_prompts")),
+        "m_statistics": lambda s, d: X.rounded(_matrix(s, d)[1], 5),
+        "m_linear": _linear,
+        "m_contributions": _contributions,
+        "m_trained": _trained,
+        "a_score_summary": lambda s, d: V.score_summary(sentence_scores(s, d), "row_id", "score"),
+        "a_confidence": lambda s, d: V.confidence(sentence_scores(s, d), "row_id", "score"),
+        "a_metrics": lambda s, d: V.classification(scores(s, d), "label", "p"),
+        "a_auc": lambda s, d: V.roc_auc(scores(s, d), "label", "p"),
+        "a_separation": _separation,
+        "a_reliability": lambda s, d: V.reliability(scores(s, d), "label", "p"),
+        "a_ece": lambda s, d: V.expected_calibration_error(scores(s, d), "label", "p"),
+        "a_generator_rates": lambda s, d: V.rates(scores(s, d), "label", "p", "generator"),
+        "a_fairness": lambda s, d: V.rates(scores(s, d).filter("label = 0 and ell_status is not null"), "label", "p", "ell_status"),
+        "a_pivot": lambda s, d: scores(s, d).groupBy("split").pivot("label", [0, 1]).agg(F.round(F.avg("p"), 6)).withColumnsRenamed({"0": "human", "1": "machine"}),
+        "a_buckets": lambda s, d: scores(s, d).groupBy(F.when(F.col("p") <= 0.35, "a").when(F.col("p") <= 0.45, "b").when(F.col("p") <= 0.55, "c").otherwise("d").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p")),
+        "a_reference": lambda s, d: wide_features(s, d).filter("label = 0 and is_scorable").unpivot(["label"], ["lex_ttr", "lex_mtld", "pred_cross_entropy", "punct_comma_density"], "feature", "value").groupBy("feature").agg(F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("sd")),
+        "a_bands": lambda s, d: sentence_scores(s, d).groupBy(E.risk_band(E.risk_score(F.col("score"))).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
+        "a_failures": _failures,
+        "e_signals": lambda s, d: E.signals(table(s, d, "signal_evidence"), "row_id"),
+        "e_described": _described,
+        "e_verdicts": _verdicts,
+        "e_explanations": _explanations,
+        "e_response": _response,
+        "j_overlap": _overlap,
+        "h_rebuilt": _hybrids,
+    }
+    return q
