@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkspan.session import materialize
 
@@ -20,14 +21,14 @@ from inkspan.session import materialize
 MAX_BROADCAST_TARGETS = 200_000
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def ordered_bits(s: pd.Series) -> pd.Series:
     """Double to BIGINT so that the order of the integers is that of the doubles (-0.0 equals 0.0)."""
     b = (s.to_numpy("float64") + 0.0).view("int64")
     return pd.Series(b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordered_bits(s: pd.Series) -> pd.Series:
     b = s.to_numpy("int64")
     return pd.Series((b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF)).view("float64"))
