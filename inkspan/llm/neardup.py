@@ -226,7 +226,7 @@ def links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75) ->
                 # Hashed tokens tell the pairs that are far off (they can't lose common ones); the rest are compared by their strings.
                 p, q = cut(x), cut(y)
                 lo, hi = sorted((len(p), len(q)))
-                if lo < threshold * hi - 1e-9 or np.intersect1d(p, q, assume_unique=True).size < 0.9 * threshold * hi / (1 + threshold):
+                if lo < threshold * hi - 1e-9 or np.intersect1d(p, q, assume_unique=True).size < threshold / (1 + threshold) * (lo + hi) - 2:
                     sims.append(0.0)
                 else:
                     sims.append(jaccard(x, y))
