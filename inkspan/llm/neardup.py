@@ -205,8 +205,9 @@ def links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75) ->
     formatting copies (g), ga < gb; ``members`` (``rid, g, d``) has a row for each text. Texts whose
     normalised form has under five characters have no substrings and no links.
     """
-    base = _base(df, id_col, text_col)
-    members = materialize(base.select("rid", "g", F.xxhash64("norm").alias("d")), "p5-members")
+    # Normalised once; the three readers below take the columns they need from the written table.
+    base = materialize(_base(df, id_col, text_col).withColumn("d", F.xxhash64("norm")), "p5-base")
+    members = base.select("rid", "g", "d")
     index = base.select("norm", "g").mapInPandas(_emit(threshold), "key bigint, g bigint").repartition("key").dropDuplicates(["key", "g"])
     a, b = index.select("key", F.col("g").alias("ga")), index.select("key", F.col("g").alias("gb"))
     cand = materialize(a.join(b, "key").filter("ga < gb").select("ga", "gb").distinct(), "p5-cand")
