@@ -224,13 +224,15 @@ def links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75) ->
         for pdf in batches:
             sims = []
             for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
-                # Hashed tokens tell the pairs that are far off (they can't lose common ones); the rest are compared by their strings.
+                # The hashed tokens decide unless a few collisions could matter; then the strings themselves do.
                 p, q = cut(x), cut(y)
                 lo, hi = sorted((len(p), len(q)))
-                if lo < threshold * hi - 1e-9 or np.intersect1d(p, q, assume_unique=True).size < threshold / (1 + threshold) * (lo + hi) - 2:
+                if lo < threshold * hi - 1e-9:
                     sims.append(0.0)
-                else:
-                    sims.append(jaccard(x, y))
+                    continue
+                both = np.intersect1d(p, q, assume_unique=True).size
+                sim = both / (lo + hi - both)
+                sims.append(jaccard(x, y) if abs(sim - threshold) * lo <= 4 else sim)
             yield pdf[["ga", "da", "gb", "db"]].assign(similarity=np.array(sims, float))
 
     out = pairs.select("ga", "da", "gb", "db", "ta", "tb").mapInPandas(verify, "ga bigint, da bigint, gb bigint, db bigint, similarity double")
