@@ -163,7 +163,7 @@ def _encode_long(t: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame
         for pdf in batches:
             ids = []
             for x, nxt in zip(pdf["part"], pdf["nxt"], strict=True):
-                # White space before a piece's end is split by what follows it: one more character decides.
+                # White space before a piece's end is split by what follows it: two more characters decide.
                 cuts = [b for b in boundaries(x + nxt) if b <= len(x)]
                 ids.append(encode_pieces(x, cuts, enc))
             yield pd.DataFrame({"uid": pdf["uid"], "rid": pdf["rid"], "k": pdf["k"], "ids": ids})
@@ -176,6 +176,6 @@ def _encode_long(t: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame
     cuts = rows.repartition("uid", "o").mapInPandas(cut, "uid bigint, rid bigint, o int, last boolean, bs array<int>")
     pieces = cuts.groupBy("uid").applyInPandas(join, "uid bigint, rid bigint, k int, a int, z int")
     parts = pieces.join(t.select("uid", "txt"), "uid").withColumn("z", F.when(F.col("z") < 0, F.length("txt")).otherwise(F.col("z")))
-    parts = parts.select("uid", "rid", "k", F.substring("txt", F.col("a") + 1, F.col("z") - F.col("a")).alias("part"), F.substring("txt", F.col("z") + 1, F.lit(1)).alias("nxt"))
+    parts = parts.select("uid", "rid", "k", F.substring("txt", F.col("a") + 1, F.col("z") - F.col("a")).alias("part"), F.substring("txt", F.col("z") + 1, F.lit(2)).alias("nxt"))
     enc = parts.repartition("uid", "k").mapInPandas(encode, "uid bigint, rid bigint, k int, ids array<int>")
     return enc.groupBy("uid", "rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x")).select("rid", F.flatten(F.transform("x", lambda s: s["ids"])).alias("ids"))

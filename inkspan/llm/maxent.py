@@ -5,6 +5,8 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BITS = 16
 
@@ -31,3 +33,17 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, l2: float = 1e-6, rate: f
             g2[at] += g * g
             w[at] -= rate * g / np.sqrt(g2[at])
     return w
+
+
+def bounded_sample(df: DataFrame, id_col: str, col: str, size: int, salt: str) -> list:
+    """The values of ``col`` in the ``size`` rows with the least hash of the id (ties by value).
+
+    Rows beyond twice the wanted share of the hash range are filtered where they are read, so that all tasks
+    together send about twice the sample to the driver, however many tasks there are.
+    """
+    n = df.count()
+    h = F.xxhash64(F.col(id_col), F.lit(salt))
+    t = df.select(h.alias("_h"), F.col(col).alias("_v"))
+    if n > 4 * size:
+        t = t.filter(F.col("_h") < F.lit(int(-(2**63) + 2**64 * 2 * size / n)))
+    return [r["_v"] for r in t.orderBy("_h", "_v").limit(size).collect()]

@@ -238,8 +238,8 @@ def examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, train_texts: int = TRAIN_TEXTS) -> np.ndarray:
-    t = df.filter(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit("sentences")).alias("h"), F.col(text_col).alias("t"))
-    xs, ys = examples([r["t"] for r in t.orderBy("h", "t").limit(train_texts).collect()])
+    t = df.filter(F.col(text_col).isNotNull())
+    xs, ys = examples(maxent.bounded_sample(t, id_col, text_col, train_texts, "sentences"))
     return maxent.fit(np.array(xs), np.array(ys, float))
 
 

@@ -227,8 +227,8 @@ def assess(docs: DataFrame, id_col: str, text_col: str, source_col: str, n_chars
     t = t.filter(F.col("txt").rlike(r"[\p{L}\p{M}\p{N}]"))
     lim = fit_limits(_lengths(t)).groupBy("source").agg(F.collect_list(F.struct("measure", "lim", "posterior")).alias("limits"))
     lim = materialize(lim, "p10-limits")
-    sample = t.select(F.xxhash64("rid", F.lit("train")).alias("h"), F.substring("txt", -TAIL, TAIL).alias("tail")).orderBy("h", "tail").limit(train_texts)
-    weights = t.sparkSession.sparkContext.broadcast(fit_ending([r["tail"] for r in sample.collect()]).astype(np.float32))
+    tails = maxent.bounded_sample(t.withColumn("tail", F.substring("txt", -TAIL, TAIL)), "rid", "tail", train_texts, "train")
+    weights = t.sparkSession.sparkContext.broadcast(fit_ending(tails).astype(np.float32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weights.value
