@@ -5,7 +5,8 @@ of segments become candidates, which are verified exactly.
 
 Small sets (size bands up to SMALL tokens) use the pigeonhole bound: two sets of similarity at least t differ in at
 most H = (1-t)/(1+t) * (a+b) tokens, so of e exact segments and d segments indexed with their one-deletion
-neighbourhood, e + 2d > H, at least one must meet. The split into e and d is the cheapest by a cost model of the band.
+neighbourhood, e + 2d > H, at least one must meet; segments empty in both sets give no key and are made up for by
+more segments. The split into e and d is the cheapest by a cost model of the band.
 
 For larger sets that bound needs hundreds of segments of three or four tokens, at which unrelated essays meet. They
 index segment subsets instead: the universe is cut into ROUNDS * SEGMENTS segments, each segment stands for its
@@ -67,10 +68,13 @@ def _band_plan(band: int, threshold: float) -> tuple[int, int]:
     top = _band_top(band, threshold)
     h = math.floor((1 - threshold) / (1 + threshold) * 2 * top + 1e-9)
     best = None
-    for d in range((h + 1) // 2 + 1):
+    # Tiny sets leave exact segments empty too often: theirs are all deletion segments, which have keys when empty.
+    for d in range((h + 2) // 2 if top <= 20 else 0, (h + 2) // 2 + 1):
         e = max(0, h + 1 - 2 * d)
         if e + d == 0:
             continue
+        if e:  # segments that are empty in both sets agree without a key: as many more as are expected, twice over
+            e += math.ceil(2 * (e + d) * math.exp(-threshold * top / (e + d)))
         t = top / (e + d)
         keys = e + d * (1 + t)
         meets = e * math.exp(-1.6 * t) + d * 2 * t * math.exp(-1.6 * max(t - 1, 0))
