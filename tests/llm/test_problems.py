@@ -61,6 +61,27 @@ def test_repetition(spark):
     assert repetition.found(frame(spark, [long]), "row_id", "text").count() == 1
 
 
+def test_repetition_of_any_ratio(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (70, 110, 134, 200, 260, 600):  # ideographs compress badly, repeated or not
+        for _ in range(20):
+            x = "".join(chr(0x4E00 + int(2500 * rng.random() ** 2)) for _ in range(n))
+            texts.append(x + x[: int(n * rng.uniform(0.2, 0.5))])
+    shares = [brute_share(x) for x in texts]
+    got = {r["row_id"] for r in repetition.found(frame(spark, texts), "row_id", "text").collect()}
+    assert got == {i + 1 for i, x in enumerate(shares) if x >= 0.25}
+    every = {r["row_id"]: r["share"] for r in repetition.repetition(frame(spark, texts), "row_id", "text").collect()}
+    assert [every[i + 1] for i in range(len(texts))] == pytest.approx(shares)
+
+
+def test_repetition_with_equal_hashes(monkeypatch):
+    x = "".join(random.Random(9).choice("abcd") for _ in range(300))
+    want = [brute_share(t) for t in (x, x + x[:150])]
+    monkeypatch.setattr(repetition, "_hashes", lambda a, length: np.zeros(len(a) - length + 1, np.uint64))
+    assert [repetition.repeated_share(t) for t in (x, x + x[:150])] == pytest.approx(want)
+
+
 def test_sentences(spark):
     train = ["He saw Dr. Brown at 6 p.m. by the pier. The fish was good! Was it cheap? It was.\n\nMrs. Lee left. We waited... and then it rained.\n\nThe end came."] * 50
     w = sentences.fit(frame(spark, train), "row_id", "text")
