@@ -19,6 +19,8 @@ from inkspan.functions.text import word_string
 
 #: The test items are broadcast; a larger set than this (characters of words) is refused.
 MAX_ITEM_CHARS = 64 << 20
+#: Positions of rarest terms that a proximity search holds at once, but for those of one window.
+CANDIDATES = 1 << 20
 
 
 class Items:
@@ -140,8 +142,8 @@ def leaked_items(pairs: DataFrame, items: DataFrame, item_id: str) -> DataFrame:
 
 def proximity(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 13, within: int = 26) -> DataFrame:
     """``doc_id, item_id, n_terms``: documents in which a stretch of ``within`` words holds, in any order and with other
-    words between, at least ``least`` distinct words of one stretch of ``least`` words of an item that begins with
-    its rarest word. One row per pair with the most words found.
+    words between, every distinct word of some stretch of ``least`` words of an item, wherever in the item that begins.
+    One row per pair with the most distinct words found; rows repeated under one id give one row each.
     """
     b = docs.sparkSession.sparkContext.broadcast(_items(items, item_id, item_text, least))
 
@@ -160,22 +162,51 @@ def proximity(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id
 
 
 def _near(it: Items, flat: np.ndarray, owner: np.ndarray, ids: np.ndarray, names: np.ndarray, within: int) -> pd.DataFrame:
-    m, half = it.least, within // 2
+    """Every window is looked up at all positions of its rarest term; positions are dropped term by term, rarest first."""
+    m, n, far = it.least, len(flat), within - 1
+    none = pd.DataFrame({"d": ids[:0], "i": names[:0], "n_terms": np.empty(0, np.int32)})
     order = np.argsort(flat, kind="stable")
-    st = flat[order]
-    rows: dict[tuple[int, int], int] = {}
-    lists = {t: order[np.searchsorted(st, t) : np.searchsorted(st, t, side="right")] for t in range(len(it.vocab))}
-    for s in it.starts[:: max(1, m // 2)]:
-        terms = np.unique(it.seq[s : s + m])
-        rare = min(terms, key=lambda t: len(lists[t]))
-        near = np.zeros(len(pos := lists[rare]), np.int64)
-        for t in sorted(terms, key=lambda t: len(lists[t])):
-            p = lists[t]
-            k = np.searchsorted(p, pos - half)
-            ok = k < len(p)
-            ok[ok] = (p[k[ok]] <= pos[ok] + half) & (owner[p[k[ok]]] == owner[pos[ok]])
-            near += ok
-        for x in np.flatnonzero(near >= min(len(terms), m)):
-            key = (int(ids[owner[pos[x]]]), int(names[it.item[s]]))
-            rows[key] = max(rows.get(key, 0), int(near[x]))
-    return pd.DataFrame([(a, b, n) for (a, b), n in rows.items()], columns=["d", "i", "n_terms"])
+    order = order[np.searchsorted(flat[order], 0) :]
+    occ = flat[order] * n + order  # sorted by term, then position
+    df = np.bincount(flat[order], minlength=len(it.vocab))
+    lo = np.concatenate([[0], np.cumsum(df)])
+    terms = it.seq[it.starts[:, None] + np.arange(m)] if len(it.starts) else np.empty((0, m), np.int64)
+    live = (df[terms] > 0).all(axis=1)
+    terms, item = terms[live], it.item[it.starts[live]]
+    if not len(terms):
+        return none
+    ranked = np.sort(terms, axis=1)
+    distinct = 1 + (ranked[:, 1:] != ranked[:, :-1]).sum(axis=1)
+    terms = np.take_along_axis(terms, np.argsort(df[terms], axis=1, kind="stable"), axis=1)
+    # The bounds of the document that a position lies in; the gaps between documents hold no term.
+    first = np.searchsorted(owner, np.arange(owner[-1] + 1))
+    last = np.searchsorted(owner, np.arange(owner[-1] + 1), side="right") - 1
+    size = df[terms[:, 0]]
+    found: list[np.ndarray] = []
+    for part in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(np.cumsum(size) // CANDIDATES)) + 1):
+        w = np.repeat(part, size[part])
+        skip = np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        pos = order[lo[terms[w, 0]] + np.arange(len(w)) - skip]
+        for k in range(1, m):
+            t, d = terms[w, k] * n, owner[pos]
+            at = np.searchsorted(occ, t + np.maximum(pos - far, first[d]))
+            ok = occ[np.minimum(at, len(occ) - 1)] <= t + np.minimum(pos + far, last[d])
+            ok &= at < len(occ)
+            w, pos = w[ok], pos[ok]
+        # All terms lie within reach of the position; one stretch must hold them together.
+        for x in range(0, len(w), 4096):
+            v, q = w[x : x + 4096], pos[x : x + 4096]
+            at = q[:, None] + np.arange(-far, far + 1)
+            near = np.where((at >= first[owner[q]][:, None]) & (at <= last[owner[q]][:, None]), flat[np.clip(at, 0, n - 1)], -1)
+            whole = np.ones((len(q), within), bool)
+            for k in range(m):
+                c = np.cumsum(near == terms[v, k][:, None], axis=1)
+                c = np.concatenate([np.zeros((len(q), 1), c.dtype), c], axis=1)
+                whole &= c[:, within:] > c[:, :-within]
+            hit = whole.any(axis=1)
+            found.append(np.stack([owner[q[hit]], item[v[hit]], distinct[v[hit]]], axis=1))
+    rows = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    if not len(rows):
+        return none
+    best = pd.DataFrame(rows, columns=["d", "i", "n_terms"]).groupby(["d", "i"], as_index=False)["n_terms"].max()
+    return pd.DataFrame({"d": ids[best["d"]], "i": names[best["i"]], "n_terms": best["n_terms"].astype(np.int32)})

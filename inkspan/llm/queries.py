@@ -41,6 +41,7 @@ def queries() -> dict[str, Query]:
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text"),
         "p9_items": lambda s, d: leaks.leaked_items(
             leaks.found(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text"), table(s, d, "eval_item"), "item_id"),
+        "p9_proximity": lambda s, d: leaks.proximity(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text"),
         "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
         "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }

@@ -217,6 +217,42 @@ def test_leaks(spark):
     assert near
 
 
+def test_proximity(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(90)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 40))) for _ in range(8)]
+    docs = []
+    for k in range(120):
+        s = rng.choice(items).split()
+        j = rng.randrange(max(1, len(s) - 12))
+        x = s[j : j + 13]
+        if k % 3:
+            rng.shuffle(x)
+        for _ in range(rng.randint(0, 16)):
+            x.insert(rng.randint(1, len(x)), f"other{rng.randint(0, 9)}")
+        docs.append(" ".join([rng.choice(words) for _ in range(rng.randint(0, 9))] + x + ["end"] * rng.randint(0, 3)))
+    want = {}
+    for i, d in enumerate(docs):
+        w = d.split()
+        have = [set(w[a : a + 26]) for a in range(max(1, len(w) - 25))]
+        for k, t in enumerate(items):
+            s = t.split()
+            for j in range(len(s) - 12):
+                x = set(s[j : j + 13])
+                if any(x <= h for h in have):
+                    want[i + 1, k + 1] = max(want.get((i + 1, k + 1), 0), len(x))
+    it = frame(spark, items + EDGE).withColumnRenamed("row_id", "item_id")
+    near = lambda x, y: [tuple(r) for r in leaks.proximity(x, "row_id", "text", y, "item_id", "text").collect()]
+    got = near(frame(spark, docs + EDGE), it)
+    assert 40 < len(want) < 120 and len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+    monkeypatch.setattr(leaks, "CANDIDATES", 3)
+    parts = leaks._items(it, "item_id", "text", 13)
+    ids = np.arange(1, len(docs) + 1)
+    small = leaks._near(parts, *leaks._shard(parts, ids, docs), ids, np.array(parts.ids), 26)
+    assert {(a, b): n for a, b, n in small.itertuples(index=False)} == want
+    assert near(frame(spark, docs), it.limit(0)) == [] and near(frame(spark, EDGE), it) == []
+
+
 def test_truncation():
     rng = np.random.default_rng(0)
     mu, sd = truncation.censored_fit(500, 500 * 6.0, 500 * (36 + 0.25), 0, 7.0)
