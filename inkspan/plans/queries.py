@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import features as X
 from inkspan.functions import normalize as N
+from inkspan.functions.text import name_key
 from inkspan.operators import corpus as C
 from inkspan.operators import evaluate as V
 from inkspan.operators import evidence as E
@@ -89,6 +90,13 @@ def _lm_counts(s: SparkSession, d: str) -> DataFrame:
     return m["trigram"].select("w2", "w1", "w", "n")
 
 
+def _held_out(s: SparkSession, d: str) -> DataFrame:
+    """Essays of the prompts that the latest manifest gives to validation or test, whatever split a row records."""
+    m = table(s, d, "split_manifest").orderBy(F.desc("created_at"), F.desc("manifest_id")).limit(1)
+    held = m.select(F.explode("group_assignment").alias("name", "should")).filter("should in ('validation', 'test')")
+    return essays(s, d).withColumn("_k", name_key("prompt_name")).join(held.select(name_key("name").alias("_k")).filter("_k <> ''"), "_k", "left_semi").drop("_k")
+
+
 def _folds(s: SparkSession, d: str) -> DataFrame:
     n = essays(s, d).filter("prompt_name is not null and split = 'train'").groupBy("prompt_name").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r[0]: r[1] for r in n.limit(100_001).collect()}
@@ -213,7 +221,7 @@ def queries() -> dict[str, Query]:
         "d_exact": lambda s, d: C.exact_duplicates(essays(s, d)),
         "d_near": lambda s, d: C.near_duplicates(essays(s, d).filter("text is not null")),
         "s_cells": lambda s, d: C.sample_per_cell(essays(s, d), ["prompt_name", "label"], 5).select("essay_id", "prompt_name", "label"),
-        "s_matched": lambda s, d: C.matched_sample(essays(s, d).filter("split = 'test'"), "prompt_name", "ell_status"),
+        "s_matched": lambda s, d: C.matched_sample(_held_out(s, d).filter("label = 0"), "prompt_name", "ell_status"),
         "s_groups": lambda s, d: C.group_splits(essays(s, d), "prompt_name"),
         "s_hash": lambda s, d: C.split_hash_frame(essays(s, d).filter("split is not null and prompt_name is not null").groupBy("prompt_name").agg(F.min("split").alias("split")), "prompt_name"),
         "s_validation": lambda s, d: C.validate_splits(essays(s, d)),

@@ -48,6 +48,34 @@ def test_groups_and_hash(spark):
     assert set(C.group_folds({c: 1 for c in "abcde"}).values()) == set(range(5))
 
 
+def test_matched_sample(spark):
+    rows = [(i, "P one", "Yes") for i in range(5)] + [(10 + i, "p-ONE", "No") for i in range(3)] + [(20, "Q", "Yes")] + [(30 + i, "q!", "No") for i in range(4)] + [(40, None, "No"), (41, "Q", None)]
+    d = spark.createDataFrame(rows, "essay_id bigint, prompt_name string, ell_status string")
+    got = {r["essay_id"]: r["ell_status"] for r in C.matched_sample(d, "prompt_name", "ell_status").collect()}
+    assert {i for i, f in got.items() if f == "Yes"} == {0, 1, 2, 3, 4, 20}
+    no = {i for i, f in got.items() if f == "No"}
+    assert {10, 11, 12} <= no and len(no) == 4
+    assert C.matched_sample(d.filter("ell_status = 'Yes'"), "prompt_name", "ell_status").count() == 0
+
+
+def test_matched_query(spark):
+    from inkspan.plans.queries import queries
+
+    d = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{d}/train_v2_drcat_02.parquet").select("row_id", "label", "prompt_name", "ell_status").collect()
+    m = max(spark.read.parquet(f"{d}/split_manifest.parquet").collect(), key=lambda r: (r["created_at"], r["manifest_id"]))["group_assignment"]
+    red = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    held = {red(k) for k, v in m.items() if v != "train"}
+    human = [r for r in e if r["label"] == 0 and red(r["prompt_name"]) in held]
+    got = {r["essay_id"]: r["ell_status"] for r in queries()["s_matched"](spark, d).collect()}
+    assert {i for i, f in got.items() if f == "Yes"} == {r["row_id"] for r in human if r["ell_status"] == "Yes"}
+    per = {}
+    for r in human:
+        y, n, k = per.get(red(r["prompt_name"]), (0, 0, 0))
+        per[red(r["prompt_name"])] = (y + (r["ell_status"] == "Yes"), n + (r["ell_status"] == "No"), k + (got.get(r["row_id"]) == "No"))
+    assert per and all(k == min(y, n) for y, n, k in per.values()) and set(got) <= {r["row_id"] for r in human}
+
+
 def test_language_model(spark):
     s = spark.createDataFrame([(1, 0, "the cat sat"), (2, 0, "the cat ran"), (3, 0, "...")], "essay_id bigint, sent_idx int, text string")
     m = G.fit(s)
