@@ -167,8 +167,9 @@ def _explanations(s: SparkSession, d: str) -> DataFrame:
 
 def _response(s: SparkSession, d: str) -> DataFrame:
     from inkspan.plans.analyze import analyze
+    from inkspan.plans.detector import train
 
-    return analyze(essays(s, d).select("essay_id", "text"), table(s, d, "signal_evidence").withColumnRenamed("row_id", "essay_id"))
+    return analyze(essays(s, d).select("essay_id", "text"), train(essays(s, d).filter("split = 'train'")))
 
 
 def _passages(s: SparkSession, d: str) -> DataFrame:

@@ -135,6 +135,70 @@ def test_evidence(spark):
     assert [r[0] for r in v] == ["insufficient_text", "likely_human", "mixed_signals", "likely_machine", "mixed_signals"]
 
 
+def test_ranked_signals(spark):
+    rows = [(1, 0.4, -1.0, 3.0, 0.02), (2, -0.03, 0.01, 0.0, 0.0), (3, 0.2, -0.2, -0.5, 0.0)]
+    d = spark.createDataFrame(rows, "k int, lex_ttr double, lex_mtld__missing double, docmean_punct_comma_density double, pred_cross_entropy double")
+    names = d.columns[1:]
+    long = d.unpivot(["k"], names, "measured_feature", "contribution")
+    want = {}
+    for r in E.signals(long, "k").collect():
+        want.setdefault(r["k"], []).append((r["rank"], r["family"], r["direction"], r["contribution"], r["strongest_feature"].removesuffix("__missing")))
+    got = d.select("k", E.ranked({n: F.col(n) for n in names}, ["lex_ttr"], {"lex_ttr": (0.1, 0.1)}).alias("s")).collect()
+    keys = ("rank", "family", "direction", "contribution", "strongest_feature")
+    assert {r["k"]: [tuple(x[c] for c in keys) for x in r["s"]] for r in got if r["s"]} == {k: sorted(v) for k, v in want.items()}
+    assert all(E.family_of(n) == f for n, f in d.select(*[E.family(F.lit(n)).alias(n) for n in names]).first().asDict().items())
+
+
+def test_analysis(spark):
+    import random
+
+    from inkspan.functions import normalize as N
+    from inkspan.plans import detector as D
+    from inkspan.plans.analyze import analyze
+
+    rng = random.Random(3)
+    some = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+
+    def essay(machine: bool) -> str:
+        out = []
+        for _ in range(rng.randint(6, 15)):
+            w = [rng.choice(some[:20] if machine else some) for _ in range(rng.randint(9, 12) if machine else rng.randint(5, 18))]
+            out.append((("Moreover, " if machine and rng.random() < 0.8 else "") + " ".join(w)).capitalize() + ".")
+        return " ".join(out)
+
+    rows = [(i, essay(i % 2 == 1), i % 2, f"Prompt {i // 2 % 2}") for i in range(40)]
+    train = spark.createDataFrame(rows, "essay_id bigint, text string, label int, prompt_name string")
+    det = D.train(train)
+    new = [(100 + i, essay(i % 2 == 1)) for i in range(10)] + [(200, None), (201, "  "), (202, "Only a few words here. No.")]
+    docs = spark.createDataFrame(new, "essay_id bigint, text string")
+    got = {r["essay_id"]: r for r in analyze(docs, det).collect()}
+    assert set(got) == {i for i, _ in new}
+    for i in (200, 201):
+        r = got[i]
+        assert (r["risk_score"], r["confidence"], r["confidence_band"], r["assessment"], r["signals"], r["sentences"], r["passages"]) == (0, 0.0, "low", "insufficient_text", [], [], [])
+    assert got[202]["assessment"] == "insufficient_text" and got[202]["passages"] == [] and [x["risk_score"] is None for x in got[202]["sentences"]] == [False, True]
+    right = sum((got[100 + i]["risk_score"] >= 50) == (i % 2 == 1) for i in range(10))
+    assert right >= 8
+    for i in range(10):
+        r = got[100 + i]
+        s = r["sentences"]
+        assert len(r["passages"]) == len(s) - 3 and r["signals"] and any(x["signals"] for x in s)
+        assert all(x["risk_score"] is not None for x in s) and 0 < r["confidence"] <= min(1, len(s) / 12)
+        for k, x in enumerate(r["passages"]):
+            assert (x["start_sentence_index"], x["end_sentence_index"], x["start"], x["end"]) == (k, k + 3, s[k]["start"], s[k + 3]["end"])
+            assert abs(x["risk_score"] - sum(y["risk_score"] for y in s[k : k + 4]) / 4) <= 1
+    # With the intercept the contributions of the document model are the log-odds of the risk.
+    sent = N.sentences(docs.filter("text is not null"))
+    f = D.sentence_table(sent, G.score(sent, det.language))
+    d = D.document_table(sent, f, f.filter("is_scorable").select("essay_id", det.sentence.probability(f.columns).alias("score")))
+    c = d.select("essay_id", *[x.alias(k) for k, x in det.document.contributions(d.columns).items()])
+    for r in c.collect():
+        z = det.document.intercept + sum(v for k, v in r.asDict().items() if k != "essay_id")
+        assert abs(100 / (1 + math.exp(-z)) - got[r["essay_id"]]["risk_score"]) <= 0.51
+    with pytest.raises(ValueError):
+        D.train(train.filter("prompt_name = 'Prompt 0'"))
+
+
 def test_hybrid(spark):
     s = spark.createDataFrame([(1, i, f"Sentence number {i}.") for i in range(10)] + [(2, 0, "Short.")], "essay_id bigint, sent_idx int, text string")
     r = H.rebuild(H.choose(s), lambda c: F.upper(c)).orderBy("sent_idx").collect()
