@@ -98,9 +98,7 @@ def _held_out(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folds(s: SparkSession, d: str) -> DataFrame:
-    n = essays(s, d).filter("prompt_name is not null and split = 'train'").groupBy("prompt_name").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r[0]: r[1] for r in n.limit(100_001).collect()}
-    return s.createDataFrame([(g, f, sizes[g]) for g, f in C.group_folds(sizes).items()], "prompt_name string, fold int, n bigint")
+    return C.group_fold_frame(essays(s, d).filter("split = 'train'"), "prompt_name")
 
 
 def _separation(s: SparkSession, d: str) -> DataFrame:

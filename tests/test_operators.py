@@ -48,6 +48,13 @@ def test_groups_and_hash(spark):
     assert set(C.group_folds({c: 1 for c in "abcde"}).values()) == set(range(5))
 
 
+def test_fold_frame(spark):
+    d = spark.createDataFrame([(g,) for g in "aaabbcd"] + [(None,)], "g string")
+    assert {r["g"]: (r["fold"], r["n"]) for r in C.group_fold_frame(d, "g", 4).collect()} == {"a": (0, 3), "b": (1, 2), "c": (2, 1), "d": (3, 1)}
+    with pytest.raises(ValueError):
+        C.group_fold_frame(d, "g", 3)
+
+
 def test_matched_sample(spark):
     rows = [(i, "P one", "Yes") for i in range(5)] + [(10 + i, "p-ONE", "No") for i in range(3)] + [(20, "Q", "Yes")] + [(30 + i, "q!", "No") for i in range(4)] + [(40, None, "No"), (41, "Q", None)]
     d = spark.createDataFrame(rows, "essay_id bigint, prompt_name string, ell_status string")
