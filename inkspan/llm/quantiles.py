@@ -19,26 +19,30 @@ def _kinds(**kinds: Column) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("grp")) for k, v in kinds.items()])).alias("g")
 
 
+def _day(c: str) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
+
+
 def measures(features: DataFrame, evidence: DataFrame, essays: DataFrame) -> DataFrame:
-    """``measure, kind, grp, value``: every value once per kind of group (prompt, generator, family, day).
+    """``measure, kind, grp, day, value``: every value once per kind of group (prompt, generator, family, day), with its day.
 
     Names of prompts and generators group by their reduced form; missing names are the group ''. Keys absent
     from a map give no row.
     """
     f = features.select(
         F.explode("feature_values").alias("measure", "value"), name_key("prompt_name").alias("p"),
-        name_key("generator").alias("q"), F.date_format("extracted_at", "yyyy-MM-dd").alias("d"),
+        name_key("generator").alias("q"), _day("extracted_at").alias("day"),
     ).filter("value is not null and not isnan(value)")
-    f = f.select("measure", "value", _kinds(prompt=F.col("p"), generator=F.col("q"), day=F.coalesce("d", F.lit(""))))
+    f = f.select("measure", "value", "day", _kinds(prompt=F.col("p"), generator=F.col("q"), day=F.col("day")))
     e = evidence.filter("z_score is not null and not isnan(z_score)").select(
-        F.lit("z_score").alias("measure"), F.col("z_score").alias("value"),
-        _kinds(family=F.coalesce("family", F.lit("")), day=F.coalesce(F.date_format("scored_at", "yyyy-MM-dd"), F.lit(""))),
+        F.lit("z_score").alias("measure"), F.col("z_score").alias("value"), _day("scored_at").alias("day"),
+        _kinds(family=F.coalesce("family", F.lit("")), day=_day("scored_at")),
     )
     s = essays.filter("label is not null").select(
-        F.lit("label").alias("measure"), F.col("label").cast("double").alias("value"),
-        _kinds(prompt=name_key("prompt_name"), generator=name_key("generator"), day=F.coalesce(F.date_format("collected_at", "yyyy-MM-dd"), F.lit(""))),
+        F.lit("label").alias("measure"), F.col("label").cast("double").alias("value"), _day("collected_at").alias("day"),
+        _kinds(prompt=name_key("prompt_name"), generator=name_key("generator"), day=_day("collected_at")),
     )
-    return f.unionByName(e).unionByName(s).select("measure", "g.kind", "g.grp", "value")
+    return f.unionByName(e).unionByName(s).select("measure", "g.kind", "g.grp", "day", "value")
 
 
 def group_percentiles(values: DataFrame, qs: Sequence[float] = QS) -> DataFrame:
@@ -47,11 +51,20 @@ def group_percentiles(values: DataFrame, qs: Sequence[float] = QS) -> DataFrame:
 
 
 def day_sketch(values: DataFrame, bits: int = 24) -> DataFrame:
-    """``measure, day, prefix, n``: the mergeable part for each day, at most 2**bits counters of a measure and day."""
-    v = values.filter("kind = 'day'").select("measure", F.col("grp").alias("day"), ordered_bits("value").alias("_key"))
-    return histogram(v, ["measure", "day"], "_key", bits)
+    """``measure, kind, grp, day, prefix, n``: the mergeable part of each group and day, at most 2**bits counters of one.
+
+    The rows of kind 'day' are those of the group of all values (kind 'all', group '').
+    """
+    day = F.col("day") if "day" in values.columns else F.when(F.col("kind") == "day", F.col("grp"))
+    every = F.col("kind") == "day"
+    v = values.select(
+        "measure", F.when(every, "all").otherwise(F.col("kind")).alias("kind"), F.when(every, "").otherwise(F.col("grp")).alias("grp"),
+        day.alias("day"), ordered_bits("value").alias("_key"))
+    return histogram(v, [*GROUPS, "day"], "_key", bits)
 
 
 def combined_percentiles(values: DataFrame, qs: Sequence[float] = QS, bits: int = 24) -> DataFrame:
-    """Percentiles over all days from the combined day sketches: relative error below 2**(12 - bits)."""
-    return merge_percentiles(day_sketch(values, bits), ["measure"], qs, bits)
+    """``measure, kind, grp, q, n, value``: percentiles of each group, and of all values, over all days from the
+    combined day sketches: relative error below 2**(12 - bits).
+    """
+    return merge_percentiles(day_sketch(values, bits), GROUPS, qs, bits)

@@ -127,9 +127,9 @@ def merge_percentiles(hist: DataFrame, groups: Sequence[str], qs: Sequence[float
     Each value is the lower edge of the prefix cell that holds the rank, so the relative error of a normal
     number is below 2**(12 - bits), and the result does not depend on how the data were cut into parts.
     """
-    h = hist.groupBy(*groups, "prefix").agg(F.sum("n").alias("n"))
+    h = materialize(hist.groupBy(*groups, "prefix").agg(F.sum("n").alias("n")), "radix-m")
     sizes = h.groupBy(*groups).agg(F.sum("n").alias("n"))
-    t = percentile_targets(qs)(sizes)
-    st = _follow(h, t.withColumnRenamed("n", "total"), groups, ["q", "total"])
+    t = materialize(percentile_targets(qs)(sizes), "radix-t")
+    st = _follow(h, _small(t.withColumnRenamed("n", "total"), t.count()), groups, ["q", "total"])
     edge = F.shiftleft(F.col("prefix"), 64 - bits)
     return st.select(*groups, "q", F.col("total").alias("n"), from_ordered_bits(edge).alias("value"))

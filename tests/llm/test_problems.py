@@ -166,6 +166,32 @@ def test_percentiles(spark):
     assert radix.percentiles(d.limit(0), ["g"], "value", [0.5]).count() == 0
 
 
+def test_combined_groups(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        day, v = f"d{i % 4}", rng.expovariate(1) + 0.01
+        rows += [("m", "prompt", f"p{i % 7}", day, v), ("m", "generator", f"g{i % 2}", day, v), ("m", "day", day, day, v)]
+    values = spark.createDataFrame(rows, "measure string, kind string, grp string, day string, value double")
+    sketch = quantiles.day_sketch(values)
+    assert {(r["kind"], r["grp"], r["day"]) for r in sketch.select("kind", "grp", "day").distinct().collect()} == {(k if k != "day" else "all", g if k != "day" else "", d) for _, k, g, d, _ in rows}
+
+    def close(got, kept):
+        groups = {}
+        for _, k, g, d, v in rows:
+            if d in kept:
+                groups.setdefault((k, g) if k != "day" else ("all", ""), []).append(v)
+        assert set(got) == {(k, g, q) for k, g in groups for q in quantiles.QS}
+        for (k, g, q), (n, v) in got.items():
+            s = sorted(groups[k, g])
+            exact = s[max(1, math.ceil(q * len(s))) - 1]
+            assert n == len(s) and 0 <= exact - v <= exact * 2.0 ** (12 - 24)
+
+    read = lambda x: {(r["kind"], r["grp"], r["q"]): (r["n"], r["value"]) for r in x.collect()}
+    close(read(quantiles.combined_percentiles(values)), {"d0", "d1", "d2", "d3"})
+    close(read(radix.merge_percentiles(sketch.filter("day in ('d1', 'd3')"), quantiles.GROUPS, quantiles.QS, 24)), {"d1", "d3"})
+
+
 def test_sampling(spark):
     assert sampling.allocate(10, [{"share": 0.5, "floor": 0, "available": 3}, {"share": 0.5, "floor": 0, "available": 99}]) == [3, 7]
     assert sampling.allocate(10, [{"share": 0.0, "floor": 2, "available": 5}, {"share": 1.0, "floor": 0, "available": 99}]) == [2, 8]
