@@ -103,10 +103,10 @@ def _examples(texts: list[str], seed: int = 1) -> tuple[list[list[int]], list[in
         if not e.closed or e.trace or e.thai:
             continue
         bare = e.tail.rstrip(CLOSERS + TERMINATORS + " ")
-        ms = [m.end() for m in _END.finditer(e.tail) if m.end() < len(bare) - 1]
+        # Starts of sentences that lie whole in the tail; the first of a short text starts with the text itself.
+        ms = ([0] if len(t) < TAIL else []) + [m.end() for m in _END.finditer(e.tail) if m.end() < len(bare) - 1]
         # The last sentences of the tail serve each: cut inside, and bare at its end.
-        ends = ms[1:] + [len(bare)]
-        for a, b in zip(ms, ends, strict=True):
+        for a, b in zip(ms, [*ms[1:], len(bare)], strict=False):
             b0 = len(e.tail[:b].rstrip(CLOSERS + TERMINATORS + " "))
             if b0 - a < 4:
                 continue
@@ -122,7 +122,7 @@ def _examples(texts: list[str], seed: int = 1) -> tuple[list[list[int]], list[in
 
 
 def fit_ending(texts: list[str]) -> np.ndarray:
-    """Weights of the classifier: log-odds that the last sentence is cut."""
+    """Weights of the classifier: log-odds that the last sentence is cut; all 0 if no text is of use."""
     xs, ys = _examples(texts)
     return maxent.fit(np.array(xs), np.array(ys, float))
 

@@ -307,3 +307,18 @@ def test_truncation_found(spark):
     got = {r[0] for r in truncation.found(d).collect()}
     assert len(got & want) / len(want) > 0.97 and len(got - want) <= 0.03 * len(want)
     assert {r["source"]: r["n_cut"] for r in truncation.rates(d).collect()}["free"] <= 5
+
+
+def test_truncation_of_short_texts(spark):
+    one, open_, long = "One short sentence about the harbor.", "no mark at all in this text", "word " * 200 + "end."
+    for texts in ([], [one], [open_], [long], ["."], ["ไทย"], [one, "A. B. C. D.", open_]):
+        w = truncation.fit_ending(texts)
+        assert w.shape == (1 << 16,) and np.isfinite(w).all()
+    xs, ys = truncation._examples([one])
+    assert sorted(ys) == [0, 1] and len(xs) == 2
+    assert truncation._examples([long]) == ([], [])  # its only sentence begins before the tail
+    for texts in ([one], [open_], [], EDGE):
+        rows = [(i, t, "s", None) for i, t in enumerate(texts)]
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+        live = sum(1 for t in texts if t and any(c.isalnum() for c in t))
+        assert truncation.rates(d).agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] == live
