@@ -121,9 +121,9 @@ SUMMARISED = ("lex_ttr", "lex_stopword_ratio", "syn_first_person_ratio", "syn_cl
 
 SCORES = """ev as (select row_id, sum(contribution) as z from signal_evidence group by 1),
 sc as (select t.row_id as essay_id, label, generator, prompt_name, ell_status, split, round(1 / (1 + exp(-z)), 4) as p from train_v2_drcat_02 t join ev using (row_id) where label is not null)"""
-SS = """ss as (select row_id, sentence_index, label, prompt_name, case when is_scorable and v is not null and not isnan(v) and v between 0 and 1 then v end as score from (select *, feature_values['lex_ttr'] as v from sentence_features))"""
+SS = """ss as (select row_id, sentence_index, label, prompt_name, is_scorable, case when is_scorable and isfinite(v) then v end as score from (select *, feature_values['lex_ttr'] as v from sentence_features))"""
 WIDE_NAMES = ("lex_ttr", "lex_mtld", "punct_comma_density", "pred_cross_entropy", "form_hedge_density", "rep_repeated_word_ratio")
-WIDE = "wide as (select row_id, sentence_index, label, is_scorable, " + ", ".join(f"case when not isnan(feature_values['{n}']) and abs(feature_values['{n}']) < 1e6 then feature_values['{n}'] end as {n}" for n in WIDE_NAMES) + " from sentence_features)"
+WIDE = "wide as (select row_id, sentence_index, label, is_scorable, " + ", ".join(f"case when isfinite(feature_values['{n}']) then feature_values['{n}'] end as {n}" for n in WIDE_NAMES) + " from sentence_features)"
 FAM = "case " + " ".join(f"when starts_with(ff, {q(p)}) then {q(n)}" for p, n in FAMILY_PREFIXES) + " else 'Other' end"
 STRIP = "regexp_replace(regexp_replace(measured_feature, '__missing$', ''), '^(docmean_|docstd_|doc_)', '')"
 SIGNALS = f"""fe as (select row_id, measured_feature, contribution, {FAM} as fam from (select *, {STRIP} as ff from signal_evidence where contribution is not null and not isnan(contribution))),
@@ -247,8 +247,8 @@ def oracle_sql() -> dict[str, str]:
         "a_bands": f"with {SS}, b as (select *, round_even(score * 100, 0) as s from ss) select case when s is null then 'not_scored' when s <= 35 then 'low' when s >= 65 then 'high' else 'medium' end as band, count(*) as n, round(avg(score), 6) as mean_score from b group by 1",
         "a_failures": f"with {SCORES} select essay_id, label, p, round(abs(p - label), 4) as distance from sc where (p >= 0.5) <> (label = 1) order by distance desc, essay_id limit 3",
         "e_signals": f"with {SIGNALS} select row_id, family, contribution, direction, strongest_feature, rank::int as rank from sr where rank <= 6",
-        "e_described": f"""with ref as (select measured_feature, avg(measured_value) as m, stddev_pop(measured_value) as sd from signal_evidence where direction = 'human' and measured_value is not null and not isnan(measured_value) and abs(measured_value) < 1e6 group by 1),
-            j as (select evidence_id, contribution, {STRIP} as ff, round((measured_value - m) / nullif(sd, 0), 3) as z from signal_evidence left join ref using (measured_feature) where measured_value is null or (not isnan(measured_value) and abs(measured_value) < 1e6))
+        "e_described": f"""with ref as (select measured_feature, avg(measured_value) filter (isfinite(measured_value)) as m, stddev_pop(measured_value) filter (isfinite(measured_value)) as sd from signal_evidence where direction = 'human' group by 1),
+            j as (select evidence_id, contribution, {STRIP} as ff, round(case when isfinite(measured_value) then (measured_value - m) / nullif(sd, 0) end, 3) as z from signal_evidence left join ref using (measured_feature))
             select evidence_id, {FAM} as family, z, case when z is null then case when contribution > 0 then 'above typical' else 'below typical' end when abs(z) >= 2 then 'far ' || case when z > 0 then 'above' else 'below' end || ' the human average'
             when abs(z) >= 1 then 'noticeably ' || case when z > 0 then 'above' else 'below' end || ' the human average' else 'close to the human average' end as descriptor from j""",
         "e_verdicts": f"""with {SCORES}, n as (select row_id as essay_id, count(*) filter (is_scorable) as n from sentence_features group by 1), j as (select essay_id, coalesce(n, 0) as n, round_even(p * 100, 0)::int as risk from sc left join n using (essay_id))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import features as X
@@ -36,17 +36,21 @@ def scores(s: SparkSession, d: str) -> DataFrame:
     return j.filter("label is not null").withColumn("p", F.round(M.probability(F.col("z")), 4))
 
 
+def finite(v: Column) -> Column:
+    """NaN and the infinities are no measurements; every finite value is one, however extreme."""
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def sentence_scores(s: SparkSession, d: str) -> DataFrame:
+    """A stand-in score per scorable sentence: its type-token ratio, as recorded."""
     f = table(s, d, "sentence_features")
-    v = F.col("feature_values")["lex_ttr"]
-    ok = F.col("is_scorable") & v.isNotNull() & ~F.isnan(v) & v.between(0, 1)
-    return f.select("row_id", "sentence_index", "label", "prompt_name", F.when(ok, v).alias("score"))
+    return f.select("row_id", "sentence_index", "label", "prompt_name", "is_scorable", F.when(F.col("is_scorable"), finite(F.col("feature_values")["lex_ttr"])).alias("score"))
 
 
 def wide_features(s: SparkSession, d: str) -> DataFrame:
     f = table(s, d, "sentence_features")
     names = ("lex_ttr", "lex_mtld", "punct_comma_density", "pred_cross_entropy", "form_hedge_density", "rep_repeated_word_ratio")
-    cols = [F.when(~F.isnan(F.col("feature_values")[n]) & (F.abs(F.col("feature_values")[n]) < 1e6), F.col("feature_values")[n]).alias(n) for n in names]
+    cols = [finite(F.col("feature_values")[n]).alias(n) for n in names]
     return f.select("row_id", "sentence_index", "label", "is_scorable", *cols)
 
 
@@ -151,10 +155,10 @@ def _verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _described(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "signal_evidence")
-    ref = e.filter("direction = 'human' and measured_value is not null and not isnan(measured_value) and abs(measured_value) < 1e6").groupBy("measured_feature").agg(F.avg("measured_value").alias("m"), F.stddev_pop("measured_value").alias("sd"))
-    j = e.join(ref, "measured_feature", "left").filter("measured_value is null or (not isnan(measured_value) and abs(measured_value) < 1e6)")
-    z = F.try_divide(F.col("measured_value") - F.col("m"), F.nullif("sd", F.lit(0.0)))
+    e = table(s, d, "signal_evidence").withColumn("v", finite(F.col("measured_value")))
+    ref = e.filter("direction = 'human'").groupBy("measured_feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    j = e.join(ref, "measured_feature", "left")
+    z = F.try_divide(F.col("v") - F.col("m"), F.nullif("sd", F.lit(0.0)))
     return j.select("evidence_id", E.family(F.col("measured_feature")).alias("family"), F.round(z, 3).alias("z"), E.descriptor(F.round(z, 3), F.col("contribution")).alias("descriptor"))
 
 
