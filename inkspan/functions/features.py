@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from inkspan.functions import lexicon as L
 from inkspan.functions.normalize import PUNCTUATION, words
+from inkspan.session import materialize
 
 MTLD_THRESHOLD, MTLD_MIN = 0.72, 10
 MIN_RHYTHM = 4
@@ -62,6 +63,26 @@ def with_words(sent: DataFrame) -> DataFrame:
     return s.withColumn("pn", F.regexp_count("text", F.lit(PUNCTUATION))).withColumn("tn", F.col("wn") + F.col("pn"))
 
 
+def with_runs(s: DataFrame, **items: Column) -> DataFrame:
+    """Adds for each array how often each of its distinct items occurs (``array<int>``, in the order of the items).
+
+    The array is sorted once and equal neighbours are counted, so the cost is that of the sort, however long a text
+    without sentence marks is. Each step is a column of its own, as the lambdas read it at every position.
+    """
+    s = s.withColumns({f"_s_{k}": F.sort_array(v) for k, v in items.items()})
+
+    def starts(c: str) -> Column:
+        first = F.transform(c, lambda x, i: F.when((i == 0) | (F.get(c, i - 1) != x), i))
+        return F.filter(first, lambda i: i.isNotNull())
+
+    def lengths(starts: str, whole: str) -> Column:
+        return F.transform(starts, lambda b, i: F.coalesce(F.get(starts, i + 1), F.size(whole)) - b)
+
+    s = s.withColumns({f"_b_{k}": starts(f"_s_{k}") for k in items})
+    s = s.withColumns({k: lengths(f"_b_{k}", f"_s_{k}") for k in items})
+    return s.drop(*[f"_{x}_{k}" for k in items for x in "sb"])
+
+
 def count_where(arr: str, test) -> Column:
     return F.size(F.filter(arr, test))
 
@@ -75,16 +96,15 @@ def structure_features() -> dict[str, Column]:
 
 
 def lexical_features() -> dict[str, Column]:
-    u = F.size(F.array_distinct("w"))
+    """Needs ``runs``, the occurrences of each distinct word."""
+    u = F.size("runs")
     n = F.col("wn")
-    # A word that occurs once is what is left of the distinct words without those that occur again.
-    again = F.size(F.array_distinct(F.filter("w", lambda x, i: F.array_position("w", x) <= i)))
     return {
         "lex_token_count": n.cast("double"),
         "lex_unique_count": u.cast("double"),
         "lex_ttr": ratio(u, n),
         "lex_root_ttr": F.try_divide(u.cast("double"), F.sqrt(n.cast("double"))),
-        "lex_hapax_ratio": ratio(u - again, n),
+        "lex_hapax_ratio": ratio(count_where("runs", lambda k: k == 1), n),
         "lex_repeated_word_ratio": ratio(n - u, n),
         "lex_mean_word_length": ratio(F.length(F.array_join("w", "")), n),
         "lex_stopword_ratio": ratio(count_where("w", lambda x: in_list(x, L.STOPWORDS)), F.col("tn")),
@@ -117,20 +137,19 @@ def ngrams(n: int) -> Column:
     return F.when(F.col("wn") >= n, F.transform(F.sequence(F.lit(1), F.col("wn") - (n - 1)), at)).otherwise(F.array().cast("array<string>"))
 
 
-def repeated_ratio(grams: Column) -> Column:
+def repeated_ratio(runs: str, n: Column) -> Column:
     """Share of the n-grams that occur more than once, all their occurrences counted."""
-    many = F.size(F.filter(grams, lambda x: F.size(F.filter(grams, lambda y: y == x)) > 1))
-    return ratio(many, F.nullif(F.size(grams), F.lit(0)))
+    return ratio(n - count_where(runs, lambda k: k == 1), F.nullif(n, F.lit(0)))
 
 
 def repetition_features() -> dict[str, Column]:
+    """Needs ``runs``, ``runs2`` and ``runs3``, the occurrences of each distinct word, bigram and trigram."""
     nxt = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.col("wn") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.col("wn") - 1, F.lit(0))), lambda a, b: a == b)
-    top = F.array_max(F.transform(F.array_distinct("w"), lambda x: F.size(F.filter("w", lambda y: y == x))))
     return {
-        "rep_repeated_bigram_ratio": F.when(F.col("wn") >= 2, repeated_ratio(ngrams(2))),
-        "rep_repeated_trigram_ratio": F.when(F.col("wn") >= 2, repeated_ratio(ngrams(3))),
+        "rep_repeated_bigram_ratio": F.when(F.col("wn") >= 2, repeated_ratio("runs2", F.col("wn") - 1)),
+        "rep_repeated_trigram_ratio": F.when(F.col("wn") >= 2, repeated_ratio("runs3", F.col("wn") - 2)),
         "rep_adjacent_duplicate_ratio": ratio(F.size(F.filter(nxt, lambda x: x)), F.col("wn")),
-        "rep_max_word_frequency": ratio(top, F.col("wn")),
+        "rep_max_word_frequency": ratio(F.array_max("runs"), F.col("wn")),
     }
 
 
@@ -182,20 +201,30 @@ FAMILIES = {
 def sentence_features(sent: DataFrame, *families: str, id_col: str = "essay_id") -> DataFrame:
     """One row per sentence with the features of the given families (all by default)."""
     cols = [c.alias(k) for f in families or FAMILIES for k, c in FAMILIES[f]().items()]
-    return with_words(sent).select(id_col, "sent_idx", "is_scorable", *cols)
+    runs = {}
+    if not families or {"lexical", "repetition"} & set(families):
+        runs["runs"] = F.col("w")
+    if not families or "repetition" in families:
+        runs |= {"runs2": ngrams(2), "runs3": ngrams(3)}
+    s = with_words(sent)
+    return (with_runs(s, **runs) if runs else s).select(id_col, "sent_idx", "is_scorable", *cols)
 
 
 def dependency_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth per token of an external annotation (``keys, tok_idx, head_idx``; a root is its own head), by pointer doubling."""
+    """Depth per token of an external annotation (``keys, tok_idx, head_idx``; a root is its own head), by pointer doubling.
+
+    A chain of d links takes log2(d) rounds. A token whose head is missing is a root; a cycle of heads is refused.
+    """
     t = tokens.select(*keys, "tok_idx", F.col("head_idx").alias("anc"), (F.col("tok_idx") != F.col("head_idx")).cast("int").alias("depth"))
-    while True:
+    for _ in range(40):
         up = t.select(*keys, F.col("tok_idx").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"))
-        nxt = t.join(up, [*keys, "anc"], "left").select(*keys, "tok_idx", F.coalesce("anc2", "anc").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("d2", F.lit(0)) > 0).alias("moved"))
-        nxt = nxt.cache()
-        more = not nxt.filter("moved").isEmpty()
-        t = nxt.drop("moved")
+        t2 = materialize(t.join(up, [*keys, "anc"], "left").select(
+            *keys, "tok_idx", F.coalesce("anc2", "anc").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("d2", F.lit(0)) > 0).alias("moved")), "depths")
+        more = not t2.filter("moved").isEmpty()
+        t = t2.drop("moved")
         if not more:
             return t.select(*keys, "tok_idx", "depth")
+    raise ValueError("heads form a cycle")
 
 
 def contextual_features(sent: DataFrame, id_col: str = "essay_id") -> DataFrame:
@@ -252,7 +281,7 @@ def document_features(sent: DataFrame, id_col: str = "essay_id") -> DataFrame:
 
     Texts without sentences have no row.
     """
-    f = with_words(sent)
+    f = with_runs(with_words(sent), runs=F.col("w"))
     allf = {k: c for fam in FAMILIES.values() for k, c in fam().items()}
     f = f.select(id_col, "sent_idx", "w", "wn", *[allf[k].alias(k) for k in SUMMARISED])
     aggs = []

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkspan.session import materialize
+
 THRESHOLD, HIGH_RISK, QUANTILES = 0.5, 0.60, (0.10, 0.25, 0.50, 0.75, 0.90)
 Z95 = 1.96
 
@@ -47,6 +49,23 @@ def classification(df: DataFrame, label: str, p: str, by: list[str] | None = Non
                     r6(F.when((tp + fn > 0) & (fp + tn > 0), F.col("b"))).alias("brier"))
 
 
+def running_total(df: DataFrame, by: list[str], order: str, col: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``col`` over the earlier rows of the group, by ``order`` (distinct within it).
+
+    Rows are cut into ranges of the order; each range adds up its own, and starts from the total of the ranges before it,
+    so that no group is sorted in one task.
+    """
+    t = materialize(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    per = t.groupBy(*by, "_part").agg(F.sum(col).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    per = per.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_part").alias("_g"), before.alias("_before"))
+    on = F.col("_part") == F.col("_g")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    own = F.coalesce(F.sum(col).over(W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return t.withColumn("_own", own).join(per, on).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_g", "_own", "_before", *[f"_g_{c}" for c in by])
+
+
 def roc_auc(df: DataFrame, label: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with average ranks, NULL with one class.
 
@@ -54,8 +73,8 @@ def roc_auc(df: DataFrame, label: str, value: str, by: list[str] | None = None)
     """
     by = by or []
     n = df.filter(F.col(label).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = n.withColumn("u", F.col("_p") * (below + F.col("_q") / 2.0)).groupBy(*by).agg(F.sum("u").alias("u"), F.sum("_p").alias("np"), F.sum("_q").alias("nq"))
+    n = running_total(n, by, "_v", "_q", "_below")
+    u = n.withColumn("u", F.col("_p") * (F.col("_below") + F.col("_q") / 2.0)).groupBy(*by).agg(F.sum("u").alias("u"), F.sum("_p").alias("np"), F.sum("_q").alias("nq"))
     return u.select(*by, r6(F.try_divide(F.col("u"), (F.col("np") * F.col("nq")).cast("double"))).alias("auc"))
 
 
@@ -74,7 +93,7 @@ def reliability(df: DataFrame, label: str, p: str, bins: int = 10) -> DataFrame:
     edges = [i / bins for i in range(1, bins)]
     b = sum(((F.col(p) >= e).cast("int") for e in edges), F.lit(0))
     g = df.filter(F.col(label).isNotNull() & F.col(p).between(0.0, 1.0)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(F.col(label).cast("double")).alias("mo"))
-    return g.select("bin", "n", r6(F.col("mp")).alias("mean_predicted"), r6(F.col("mo")).alias("observed"))
+    return g.select("bin", "n", F.col("mp").alias("mean_predicted"), F.col("mo").alias("observed"))
 
 
 def expected_calibration_error(df: DataFrame, label: str, p: str) -> DataFrame:

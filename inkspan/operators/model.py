@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.operators.radix import from_ordered_bits, ordered_bits, select_ranks
+
 MIN_DEFINED, MIN_VARIANCE = 0.30, 1e-10
 # Columns that are never features, and those that only measure length.
 NON_FEATURES = frozenset("essay_id label split prompt_name generator ell_status grade_level sentence_index start end is_scorable text".split())
@@ -19,20 +21,36 @@ def candidate_columns(df: DataFrame, with_length: bool = False) -> list[str]:
     return sorted(c for c, t in df.dtypes if t in numeric and c not in NON_FEATURES and (with_length or c not in LENGTH_ARTEFACTS))
 
 
+def medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Exact medians (the mean of the middle two) by radix selection: no column's values meet in one task."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value").filter("value is not null")
+    keys = long.select("feature", ordered_bits("value").alias("_k"))
+
+    def middle(sizes: DataFrame) -> DataFrame:
+        n = F.col("n")
+        return sizes.select("feature", F.explode(F.array_distinct(F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1))).alias("rank"))
+
+    got: dict[str, list[float]] = {}
+    for r in select_ranks(keys, ["feature"], "_k", middle, [], digit_bits=24).select("feature", from_ordered_bits("_k").alias("v")).collect():
+        got.setdefault(r["feature"], []).append(r["v"])
+    return {c: v[0] if len(v) == 1 else (v[0] + v[1]) / 2 for c, v in got.items()}
+
+
 def fit_statistics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``feature, median, mean, sd, has_indicator`` of the kept columns.
 
     Kept are columns defined in at least 30 % of the rows whose sample variance reaches 1e-10; mean and
-    deviation (of the population, 0 becomes 1) are those after filling gaps with the median. Two passes.
+    deviation (of the population, 0 becomes 1) are those after filling gaps with the median.
     """
     cols = cols or candidate_columns(df)
-    one = df.agg(*[F.struct(F.count(c).alias("n"), F.count(F.lit(1)).alias("t"), F.var_samp(c).alias("v"), F.percentile(F.col(c), 0.5).alias("m")).alias(c) for c in cols]).first()
+    one = df.agg(*[F.struct(F.count(c).alias("n"), F.count(F.lit(1)).alias("t"), F.var_samp(c).alias("v")).alias(c) for c in cols]).first()
     keep = [(c, one[c]) for c in cols if one[c]["t"] and one[c]["n"] / one[c]["t"] >= MIN_DEFINED and one[c]["v"] is not None and one[c]["v"] >= MIN_VARIANCE]
     if not keep:
         return df.sparkSession.createDataFrame([], "feature string, median double, mean double, sd double, has_indicator boolean")
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(float(s["m"]))) for c, s in keep]
+    med = medians(df, [c for c, _ in keep])
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c, _ in keep]
     two = df.agg(*[F.struct(F.avg(v).alias("a"), F.stddev_pop(v).alias("s")).alias(c) for (c, _), v in zip(keep, x, strict=True)]).first()
-    rows = [(c, float(s["m"]), two[c]["a"], two[c]["s"] if two[c]["s"] > 0 else 1.0, s["n"] < s["t"]) for c, s in keep]
+    rows = [(c, med[c], two[c]["a"], two[c]["s"] if two[c]["s"] > 0 else 1.0, s["n"] < s["t"]) for c, s in keep]
     return df.sparkSession.createDataFrame(rows, "feature string, median double, mean double, sd double, has_indicator boolean")
 
 

@@ -164,7 +164,7 @@ def rates(where: str, by: str) -> str:
 
 
 BINS = " + ".join(f"(p >= {i / 10!r})::int" for i in range(1, 10))
-RELIABILITY = f"with {SCORES}, rel as (select {BINS} as bin, count(*) as n, round(avg(p), 6) as mean_predicted, round(avg(label), 6) as observed from sc where p between 0 and 1 group by 1) "
+RELIABILITY = f"with {SCORES}, rel as (select {BINS} as bin, count(*) as n, avg(p) as mean_predicted, avg(label) as observed from sc where p between 0 and 1 group by 1) "
 AUC = """select {by} round(sum(pp * (below + qq / 2.0)) / nullif((sum(pp) * sum(qq))::double, 0), 6) as auc from (
  select {by} pp, qq, coalesce(sum(qq) over ({part} order by v rows between unbounded preceding and 1 preceding), 0) as below from (
   select {by} {v} as v, count(*) filter (label = 1) as pp, count(*) filter (label <> 1) as qq from {src} where label is not null and {v} is not null group by all)) {grp}"""
@@ -237,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "a_separation": f"with {WIDE}, long as ({" union all ".join(f"select label, '{c}' as feature, {c} as value from wide" for c in WIDE_NAMES)}), au as (" + AUC.format(by="feature,", part="partition by feature", v="value", src="long", grp="group by feature") + """),
             d as (select feature, count(value) filter (label = 1) as n1, count(value) filter (label = 0) as n0, avg(value) filter (label = 1) as m1, avg(value) filter (label = 0) as m0, var_samp(value) filter (label = 1) as v1, var_samp(value) filter (label = 0) as v0, count(value) as k, count(*) as t from long where label is not null group by 1)
             select feature, auc, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as cohens_d, round(m1, 6) as machine_mean, round(m0, 6) as human_mean, round(k::double / t, 6) as defined_fraction from au join d using (feature) where k::double / t >= 0.5""",
-        "a_reliability": RELIABILITY + "select bin, n, mean_predicted, observed from rel",
+        "a_reliability": RELIABILITY + "select bin, n, round(mean_predicted, 6) as mean_predicted, round(observed, 6) as observed from rel",
         "a_ece": RELIABILITY + "select round(sum(n * abs(mean_predicted - observed)) / sum(n)::double, 6) as ece from rel",
         "a_generator_rates": rates("true", "generator"),
         "a_fairness": rates("label = 0 and ell_status is not null", "ell_status"),

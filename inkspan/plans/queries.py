@@ -15,7 +15,7 @@ from inkspan.operators import evaluate as V
 from inkspan.operators import evidence as E
 from inkspan.operators import model as M
 from inkspan.operators import ngram as G
-from inkspan.session import table
+from inkspan.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 ESSAYS = "train_v2_drcat_02"
@@ -79,14 +79,14 @@ def _features(*families: str) -> Query:
 
 
 def _lm(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    sent = sents(s, d)
+    tokens = materialize(G.raw_tokens(sents(s, d)), "lm-tokens")
     human = essays(s, d).filter("label = 0 and split = 'train'").select("essay_id")
-    return sent, G.fit(sent.join(human, "essay_id", "left_semi"))
+    return tokens, G.fit_tokens(tokens.join(human, "essay_id", "left_semi"))
 
 
 def _lm_scores(s: SparkSession, d: str) -> DataFrame:
-    sent, m = _lm(s, d)
-    return X.rounded(G.score(sent, m), 4)
+    tokens, m = _lm(s, d)
+    return X.rounded(G.score_tokens(tokens, m), 4)
 
 
 def _lm_counts(s: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ def queries() -> dict[str, Query]:
         "a_metrics": lambda s, d: V.classification(scores(s, d), "label", "p"),
         "a_auc": lambda s, d: V.roc_auc(scores(s, d), "label", "p"),
         "a_separation": _separation,
-        "a_reliability": lambda s, d: V.reliability(scores(s, d), "label", "p"),
+        "a_reliability": lambda s, d: X.rounded(V.reliability(scores(s, d), "label", "p")),
         "a_ece": lambda s, d: V.expected_calibration_error(scores(s, d), "label", "p"),
         "a_generator_rates": lambda s, d: V.rates(scores(s, d), "label", "p", "generator"),
         "a_fairness": lambda s, d: V.rates(scores(s, d).filter("label = 0 and ell_status is not null"), "label", "p", "ell_status"),
