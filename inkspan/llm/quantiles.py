@@ -1,4 +1,4 @@
-"""Problem 6: percentiles of very large numeric columns, by radix selection (module ``radix``)."""
+"""Problem 6: percentiles of very large numeric columns, by radix selection (``inkspan.operators.radix``)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import name_key
-from inkspan.llm.radix import histogram, merge_percentiles, ordered_bits, percentiles
+from inkspan.operators.radix import histogram, merge_percentiles, ordered_bits, percentiles
 
 QS = (0.01, 0.25, 0.5, 0.75, 0.99)
 GROUPS = ("measure", "kind", "grp")

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm import copies, encoding, leaks, neardup, quantiles, radix, repetition, sampling, sentences, splits, truncation
+from inkspan.llm import copies, encoding, leaks, neardup, quantiles, repetition, sampling, sentences, splits, truncation
 from inkspan.llm.forest import spanning_forest
+from inkspan.operators import radix
 
 TEXT = "The harbor was quiet and the lanterns burned until the last boat came home with its nets full of silver fish. "
 
