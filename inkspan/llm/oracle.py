@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inkspan.functions.text import APOSTROPHES, INVISIBLE
+
 _RED = r"coalesce(regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'), '')"
 
 
@@ -60,10 +62,31 @@ with f as (
 """
 
 
+# Windows of 24 characters that also start earlier, and the characters they cover (problem 2).
+_SHARES = f"""
+with t as (select row_id, {_red("text")} as r from train_v2_drcat_02 where text is not null),
+w as (select row_id, i, row_number() over (partition by row_id, substring(r, i, 24) order by i) as k from (select row_id, r, unnest(range(1, greatest(1, length(r) - 22))) as i from t)),
+c as (select row_id, sum(least(24, coalesce(nxt - i, 24))) as covered from (select row_id, i, lead(i) over (partition by row_id order by i) as nxt from w where k > 1) group by 1),
+s as (select row_id, length(r) as n_chars, coalesce(covered, 0)::double / length(r) as share from t left join c using (row_id) where length(r) > 0)
+"""
+_REMOVED = "[" + (APOSTROPHES + INVISIBLE).replace("'", "''") + "]"
+_WORDS = rf"string_split(trim(regexp_replace(lower(regexp_replace(text, '{_REMOVED}', '', 'g')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')), ' ')"
+_LEAKS = f"""
+with d as (select row_number() over () as k, doc_id, {_WORDS} as w from documents where text is not null),
+i as (select item_id, {_WORDS} as w from eval_item where text is not null),
+dg as (select k, doc_id, array_to_string(w[j:j + 12], ' ') as g from (select k, doc_id, w, unnest(range(1, greatest(1, len(w) - 11))) as j from d)),
+ig as (select distinct item_id, array_to_string(w[j:j + 12], ' ') as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 11))) as j from i)),
+hits as (select distinct k, doc_id, item_id from dg join ig using (g))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _COPIES + "select f as first_row_id, row_id from keys join grp using (body, fields) where row_id > f",
         "p1_records": _COPIES + "select f as first_row_id, n as n_copies from grp",
+        "p2_found": _SHARES + "select row_id from s where share >= 0.25",
+        "p9_found": _LEAKS + "select doc_id, item_id from hits",
+        "p9_items": _LEAKS + "select item_id, count(k) as n_docs from eval_item left join hits using (item_id) group by 1",
         "p4_found": f"""with m as (select unnest(map_entries(group_assignment)) as e from {_MANIFEST}),
             a as (select {_red("e.key")} as k, min(e.value) as should from m group by 1)
             select row_id from train_v2_drcat_02 join a on {_red("prompt_name")} = a.k where split is not null and a.k <> '' and split <> should""",
