@@ -10,15 +10,15 @@ BLOCK = 2048
 
 
 def bucket_pairs(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFrame:
-    """``a, b`` (a < b): every pair of items of one bucket, once per bucket; ``rows`` holds distinct ``key, item``.
+    """``a, b`` (a < b): every pair of items of one bucket, once per bucket; ``rows`` holds ``key, item``, repeats allowed.
 
     Buckets of two, nearly all of those that matter, come out of one aggregation. Larger ones are cut into blocks of
     items, and each pair of blocks is a cell of its own, so that no bucket, however hot, meets in one task.
     """
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(item).alias("a"), F.max(item).alias("b"))
-    two = n.filter("_n = 2").select("a", "b")
-    more = n.filter("_n > 2").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_m"))
-    r = rows.join(more.hint("shuffle_hash"), key).withColumn("_i", F.pmod(F.xxhash64(item, F.lit("block")), F.col("_m")).cast("int"))
+    two = n.filter("_n = 2 and a < b").select("a", "b")
+    more = n.filter("_n > 2 and a < b").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_m"))
+    r = rows.select(key, item).join(more.hint("shuffle_hash"), key).distinct().withColumn("_i", F.pmod(F.xxhash64(item, F.lit("block")), F.col("_m")).cast("int"))
     left = r.select(key, F.col(item).alias("x"), "_i", F.explode(F.sequence("_i", F.col("_m") - 1)).alias("_k"))
     right = r.select(key, F.col(item).alias("y"), F.col("_i").alias("_k"), F.explode(F.sequence(F.lit(0), "_i")).alias("_i"))
     cells = left.join(right, [key, "_i", "_k"]).filter("_i < _k or x < y")

@@ -47,6 +47,11 @@ def histogram(df: DataFrame, groups: Sequence[str], key: str, bits: int, weight:
     return df.groupBy(*groups, F.shiftright(F.col(key), 64 - bits).alias("prefix")).agg(F.sum(w).cast("bigint").alias("n"))
 
 
+def _code(groups: Sequence[str]) -> Column:
+    """One number for a group, NULLs told apart by their place: later passes shuffle it instead of the group's names."""
+    return F.xxhash64(*[F.col(g) for g in groups], *[F.col(g).isNull() for g in groups])
+
+
 def _follow(hist: DataFrame, targets: DataFrame, groups: Sequence[str], tags: Sequence[str]) -> DataFrame:
     """From each target rank into the digit that holds it: adds prefix, and makes the rank relative to it.
 
@@ -70,29 +75,32 @@ def select_ranks(
     """The keys at the given ranks: one row ``groups, tags, key`` per target.
 
     ``targets`` is a function of the group sizes (``groups, n``) that returns ``groups, tags, rank`` with
-    1 <= rank <= n. Rows whose key is NULL are left out. The source is read twice: for the first digit,
-    and for the keys behind the digits followed, which are counted per distinct key at once; all later
-    digits work on that count table.
+    1 <= rank <= n. Rows whose key is NULL are left out; NULL is a group like any other if ``targets`` keeps it. The
+    source is read twice: for the first digit, and for the keys behind the digits followed, which are counted per
+    distinct key at once; all later digits work on that count table. Groups are named in the first pass and go by a
+    64-bit code afterwards.
     """
     src = df.filter(F.col(key).isNotNull())
     hist = materialize(histogram(src, groups, key, first_bits), "radix-h")
     sizes = hist.groupBy(*groups).agg(F.sum("n").alias("n"))
-    state = materialize(_follow(hist, targets(sizes), groups, tags), "radix-t")
-    wanted = state.select(*groups, "prefix").distinct()
+    goals = targets(sizes).select(_code(groups).alias("_g"), *groups, *tags, "rank")
+    names = [*groups, *tags]
+    state = materialize(_follow(hist.select(_code(groups).alias("_g"), "prefix", "n"), goals, ["_g"], names), "radix-t")
+    wanted = state.select("_g", "prefix").distinct()
     pref = F.shiftright(F.col(key), 64 - first_bits)
-    left = src.select(*groups, F.col(key).alias("_radix"), pref.alias("prefix")).join(
-        _small(wanted, state.count()), [*groups, "prefix"], "left_semi"
+    left = src.select(_code(groups).alias("_g"), F.col(key).alias("_radix"), pref.alias("prefix")).join(
+        _small(wanted, state.count()), ["_g", "prefix"], "left_semi"
     )
-    counts = materialize(left.groupBy(*groups, "prefix", "_radix").agg(F.count(F.lit(1)).alias("n")), "radix-k")
+    counts = materialize(left.groupBy("_g", "prefix", "_radix").agg(F.count(F.lit(1)).alias("n")), "radix-k")
     done = first_bits
     while done < 64:
         step = min(digit_bits, 64 - done)
         done += step
         prev = state.withColumnRenamed("prefix", "parent")
-        h = counts.join(state.select(*groups, "prefix").distinct(), [*groups, "prefix"], "left_semi").groupBy(
-            *groups, F.col("prefix").alias("parent"), F.shiftright("_radix", 64 - done).alias("prefix")
+        h = counts.join(state.select("_g", "prefix").distinct(), ["_g", "prefix"], "left_semi").groupBy(
+            "_g", F.col("prefix").alias("parent"), F.shiftright("_radix", 64 - done).alias("prefix")
         ).agg(F.sum("n").alias("n"))
-        state = materialize(_follow(h, prev, [*groups, "parent"], tags).drop("parent"), "radix-t")
+        state = materialize(_follow(h, prev, ["_g", "parent"], names).drop("parent"), "radix-t")
         if done < 64:
             counts = counts.withColumn("prefix", F.shiftright("_radix", 64 - done))
     return state.select(*groups, *tags, F.col("prefix").alias(key))
@@ -116,9 +124,13 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, qs: Sequence[f
     NULL and NaN are no values; infinities are the extremes; -0.0 equals 0.0. A group without values
     gives no row. Percentiles of an empty table are an empty table.
     """
-    src = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, ordered_bits(value).alias("_key"))
-    sel = select_ranks(src, groups, "_key", percentile_targets(qs), ["q", "n"])
-    return sel.select(*groups, "q", "n", from_ordered_bits("_key").alias("value"))
+    return key_percentiles(df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, ordered_bits(value).alias("_key")), groups, "_key", qs)
+
+
+def key_percentiles(df: DataFrame, groups: Sequence[str], key: str, qs: Sequence[float]) -> DataFrame:
+    """``percentiles`` of values that are given by their ordered bits."""
+    sel = select_ranks(df.select(*groups, key), groups, key, percentile_targets(qs), ["q", "n"])
+    return sel.select(*groups, "q", "n", from_ordered_bits(key).alias("value"))
 
 
 def merge_percentiles(hist: DataFrame, groups: Sequence[str], qs: Sequence[float], bits: int) -> DataFrame:
