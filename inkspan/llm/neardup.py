@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.text import reduced, spaced
 from inkspan.llm.copies import _split
+from inkspan.operators.pairs import bucket_pairs
 from inkspan.session import materialize
 
 WIDTH = 5
@@ -212,9 +213,9 @@ def links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75) ->
     # Normalised once; the three readers below take the columns they need from the written table.
     base = materialize(_base(df, id_col, text_col).withColumn("d", F.xxhash64("norm")), "p5-base")
     members = base.select("rid", "g", "d")
-    index = base.select("norm", "g").mapInPandas(_emit(threshold), "key bigint, g bigint").repartition("key").dropDuplicates(["key", "g"])
-    a, b = index.select("key", F.col("g").alias("ga")), index.select("key", F.col("g").alias("gb"))
-    cand = materialize(a.join(b, "key").filter("ga < gb").select("ga", "gb").distinct(), "p5-cand")
+    index = base.select("norm", "g").mapInPandas(_emit(threshold), "key bigint, g bigint").repartition("key")
+    # Keys of two groups come out of one aggregation; a key of many is cut into cells, so none meets in one task.
+    cand = materialize(bucket_pairs(index, "key", "g").toDF("ga", "gb").distinct(), "p5-cand")
     some = cand.select(F.col("ga").alias("g")).unionAll(cand.select("gb")).distinct()
     classes = materialize(members.join(some, "g").groupBy("g", "d").agg(F.min("rid").alias("rep")), "p5-classes")
     # A row id may be repeated with other texts: the class is told by the text's own hash again.
