@@ -1,5 +1,8 @@
 import hashlib
 import math
+import random
+import statistics
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +41,40 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
 
 
+def test_bucket_pairs(spark):
+    from inkspan.operators.pairs import bucket_pairs
+
+    rng = random.Random(5)
+    rows = [(k, i) for k in range(40) for i in rng.sample(range(60), rng.choice((1, 2, 2, 3, 5, 25)))]
+    want = sorted((a, b) for k in range(40) for _, a in [r for r in rows if r[0] == k] for _, b in [r for r in rows if r[0] == k] if a < b)
+    d = spark.createDataFrame(rows + rows[::3] + [(None, 1), (None, 2), (3, None)], "k bigint, i bigint")
+    for block in (1, 4, 2048):
+        assert sorted(tuple(r) for r in bucket_pairs(d, "k", "i", block).collect()) == want
+    assert bucket_pairs(d.limit(0), "k", "i").count() == 0
+
+
+def test_running_total_and_medians(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None, "b"]), v, rng.randint(0, 9)) for v in rng.sample(range(10000), 300)]
+    d = spark.createDataFrame(rows, "g string, v int, n int")
+    got = {(r["g"], r["v"]): r["t"] for r in V.running_total(d, ["g"], "v", "n", "t").collect()}
+    assert got == {(g, v): sum(n for h, u, n in rows if h == g and u < v) for g, v, _ in rows}
+    for k in (1, 2, 7, 8):
+        m = M.medians(d.filter("g = 'a'").limit(k), ["v", "n"])
+        kept = d.filter("g = 'a'").limit(k).collect()
+        assert m == {c: float(statistics.median(r[c] for r in kept)) for c in ("v", "n")}
+
+
+def test_shingle_hashes():
+    rng = random.Random(7)
+    for n in (0, 1, 4, 5, 6, 80):
+        t = "".join(rng.choice("abc d é中🙂") for _ in range(n))
+        assert set(C.shingle_hashes(t).tolist()) == {zlib.crc32(s.encode()) % C.MODULUS for s in C.shingle_set(t)}
+    h = C.shingle_hashes("x" * 3 + "".join(map(chr, range(300, 9000))))
+    want = ((C._A[:, None] * h[None, :] + C._B[:, None]) % C.MODULUS).min(axis=1)
+    assert (C.signature("x" * 3 + "".join(map(chr, range(300, 9000)))) == want).all()
+
+
 def test_groups_and_hash(spark):
     a = C.greedy_groups({"a": 70, "b": 15, "c": 15})
     assert a == {"a": "train", "b": "validation", "c": "test"}
