@@ -28,6 +28,8 @@ BLOCK_CHARS = 4 << 20
 SHARD_WORDS = 1 << 19
 #: Positions of rarest terms that a search holds at once, but for those of one window.
 CANDIDATES = 1 << 20
+#: What a text without words splits into: the hash of the empty string.
+NO_WORD = np.array([xxhash.xxh64(b"", seed=42).intdigest()], np.uint64).view(np.int64)[0]
 INDEX = "docs array<bigint>, starts array<int>, terms array<bigint>, counts array<int>, positions array<int>"
 
 
@@ -73,6 +75,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
         n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
+        if (bare := flat == NO_WORD).any():
+            n = n - np.bincount(np.repeat(np.arange(len(n)), n)[bare], minlength=len(n))
+            flat, ids, n = flat[~bare], ids[n > 0], n[n > 0]
         end = np.cumsum(n)
         for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff((end - 1) // SHARD_WORDS)) + 1):
             if not len(own):
@@ -91,7 +96,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The stored positional index of all texts, one row per shard; null texts and those without words have no postings."""
-    w = docs.select(F.col(doc_id).alias("rid"), word_string(text).alias("w")).filter("w <> ''").select("rid", _hashes(F.col("w")).alias("h"))
+    # Texts without words are left out where the lists are read: a filter on the words would work them out twice.
+    w = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("rid"), _hashes(word_string(text)).alias("h"))
     return materialize(w.mapInArrow(_shards, INDEX), "p9-index")
 
 
