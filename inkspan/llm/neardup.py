@@ -124,11 +124,10 @@ def _probes() -> np.ndarray:
 
 def _subset_keys(t: np.ndarray) -> np.ndarray:
     """One partition of the universe into ROUNDS * SEGMENTS segments; a segment stands for its least token."""
-    n = ROUNDS * SEGMENTS
-    h = np.sort(_mix(t))
+    n, h = ROUNDS * SEGMENTS, t  # the hashes are mixed and sorted already
     at = np.searchsorted(h, _EDGES)
     full = at[1:] > at[:-1]
-    low = h[np.minimum(at[:-1], len(h) - 1)]
+    low = h[np.minimum(at[:-1], len(h) - 1)].copy()
     empty = np.flatnonzero(~full)
     if len(empty):  # an empty segment borrows from those its own number names, the same in every record
         p = _probes()[empty]
@@ -174,7 +173,7 @@ def _copy_key(text: Column, norm: Column) -> Column:
 
 def _base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = df.select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt"))
-    t = t.select("rid", "txt", spaced("txt").alias("norm")).filter(F.length("norm") >= WIDTH)
+    t = t.filter(F.col("txt").isNotNull()).select("rid", "txt", spaced("txt").alias("norm"))
     return t.select("rid", "norm", _copy_key(F.col("txt"), F.col("norm")).alias("g"))
 
 
@@ -211,7 +210,8 @@ def links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75) ->
     normalised form has under five characters have no substrings and no links.
     """
     # Normalised once; the three readers below take the columns they need from the written table.
-    base = materialize(_base(df, id_col, text_col).withColumn("d", F.xxhash64("norm")), "p5-base")
+    # The filter stands behind the table: before it, it would normalise a second time.
+    base = materialize(_base(df, id_col, text_col).withColumn("d", F.xxhash64("norm")), "p5-base").filter(F.length("norm") >= WIDTH)
     members = base.select("rid", "g", "d")
     index = base.select("norm", "g").mapInPandas(_emit(threshold), "key bigint, g bigint").repartition("key")
     # Keys of two groups come out of one aggregation; a key of many is cut into cells, so none meets in one task.
