@@ -95,17 +95,20 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for x in pdf["red"]:
+            if not x:
+                out.append((None, None, None, None, "empty", None))
+                continue
             b = x.encode("utf-8", "surrogatepass")
             n = len(b)
             whole = len(compressor(n).compress(b)) / n
             chunks = [whole]
             if n > CHUNK:
-                chunks = [len(usual.compress(b[i : i + CHUNK])) / len(b[i : i + CHUNK]) for i in range(0, n, CHUNK) if n - i >= CHUNK // 4 or i == 0]
+                chunks = [len(usual.compress(b[i : i + CHUNK])) / len(b[i : i + CHUNK]) for i in range(0, n, CHUNK)]
             low = min(chunks)
-            suspect = whole <= limit(n) or low <= limit(min(n, CHUNK))
+            suspect = whole <= limit(n) or any(r <= limit(min(n - i * CHUNK, CHUNK)) for i, r in enumerate(chunks))
             band = "repetitive" if suspect else "incompressible" if n >= INCOMPRESSIBLE[0] and whole > INCOMPRESSIBLE[1] else "ordinary"
             out.append((n, whole, low, max(chunks), band, repeated_share(x)))
-        res = pd.DataFrame(out, columns=["n_bytes", "ratio", "chunk_min", "chunk_max", "band", "share"], index=pdf.index)
+        res = pd.DataFrame(out, columns=["n_bytes", "ratio", "chunk_min", "chunk_max", "band", "share"], index=pdf.index).astype({"n_bytes": "Int64"})
         yield pd.concat([pdf[["rid"]], res], axis=1)
 
 
@@ -117,12 +120,7 @@ def repetition(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     t = df.select(F.col(id_col).alias("rid"), reduced(text_col).alias("red"))
     schema = "rid bigint, n_bytes bigint, ratio double, chunk_min double, chunk_max double, band string, share double"
-    full = t.filter("length(red) > 0").mapInPandas(_measure, schema)
-    none = t.filter("red is null or length(red) = 0").selectExpr(
-        "rid", "cast(null as bigint) n_bytes", "cast(null as double) ratio", "cast(null as double) chunk_min",
-        "cast(null as double) chunk_max", "'empty' band", "cast(null as double) share",
-    )
-    return full.unionByName(none).withColumnRenamed("rid", id_col)
+    return t.mapInPandas(_measure, schema).withColumnRenamed("rid", id_col)
 
 
 def _shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,5 +129,5 @@ def _shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def found(df: DataFrame, id_col: str, text_col: str, share: float = 0.25) -> DataFrame:
-    t = df.select(F.col(id_col).alias("rid"), reduced(text_col).alias("red")).filter("length(red) > 0")
+    t = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rid"), reduced(text_col).alias("red"))
     return t.mapInPandas(_shares, "rid bigint, share double").filter(F.col("share") >= share).select(F.col("rid").alias(id_col))
