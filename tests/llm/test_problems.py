@@ -215,6 +215,13 @@ def test_encoding(spark):
         assert [encoding.encode_text(t, chunk=chunk, overlap=over) for t in docs] == want
     got = {r["row_id"]: list(r["ids"]) for r in encoding.encode_corpus(frame(spark, docs), "row_id", "text", chunk=120, overlap=40).collect()}
     assert [got[i + 1] for i in range(len(docs))] == want
+    far = encoding.encode_corpus(frame(spark, docs), "row_id", "text", chunk=40, overlap=30, spread=120)
+    got = {r["row_id"]: list(r["ids"]) for r in far.collect()}
+    assert [got[i + 1] for i in range(len(docs))] == want
+    for t in ("a  \n\n b " * 300, "\n \t" * 900, "x" * 3000, "it's we'll " * 200):
+        for chunk in (7, 64, 1024):
+            ps = encoding.pieces(t, chunk, 16)
+            assert "".join(ps) == t and encoding.encode_text(t, chunk=chunk, overlap=16) == enc.encode_ordinary(t)
     assert all(encoding.decode(i).decode() == (t or "") for i, t in zip(want, docs, strict=True))
 
 
