@@ -1,8 +1,9 @@
 """Problem 3: sentence boundaries across languages and scripts.
 
-Candidate boundaries (closing marks outside quotations and brackets that stand inside a sentence) are classified by
-a maximum-entropy model over the neighbouring tokens, their case, length, digits and script. It is trained on
-reliable boundaries: the ends of paragraphs with the first word of the next, and marks that can't end a sentence.
+Candidate boundaries (closing marks outside quotations and brackets that stand inside a sentence, whatever their script,
+and the spaces of Thai) are classified by a maximum-entropy model over the neighbouring tokens, their case, length,
+digits and script. It is trained on reliable boundaries: the ends of paragraphs with the first word of the next, marks
+of scripts whose marks do nothing else, spaces in Thai that touch no digit, and marks and spaces that can't end a sentence.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ TITLES = frozenset("dr mr mrs ms prof sr sra srta d dña m mm mme mlle fr hr her
 INNER = frozenset("approx ca vs etc bzw i.e e.g z b d.h h u.a co bros inc ltd sept oct nov dec jan feb aug p ej p.ej a.m p.m ph.d lb kg".split())
 
 _BLANK = regex.compile(r"\n[^\S\n]*(?:\p{Cf}[^\S\n]*)*\n\s*")
-#: Marks that end a sentence wherever they stand outside quotations; a bar written for the danda is one of them.
+#: Marks that do nothing but end sentences: reliable examples. A bar written for the danda is one of them.
 SURE = WIDE + "।॥؟۔|"
 _RUN = regex.compile(rf"(?:[{regex.escape(MARKS)}]|(?<=\p{{Devanagari}})\s?\|)+(?:[^\S\n]+[!?](?=\s|$))?")
 _THAI = regex.compile(r"\p{Thai}")
@@ -99,6 +100,23 @@ class Candidate:
         ])
 
 
+def _thai(p: str) -> bool:
+    """Whether a paragraph is mostly Thai, which ends sentences by spaces."""
+    return len(_THAI.findall(p)) * 2 > sum(c.isalpha() for c in p)
+
+
+def _gaps(p: str) -> list[tuple[int, int, list[int]]]:
+    """The inner spaces of a Thai paragraph: (start, end, features). As many features as marks have."""
+    out = []
+    for m in regex.finditer(r"\s+", p):
+        a, b = p[m.start() - 1 : m.start()], p[m.end() : m.end() + 1]
+        if a and b:
+            sides = ["9" if x.isdigit() else _script(x) if x.isalpha() else "." for x in (a, b)]
+            f = ["thai", f"ta={sides[0]}", f"tb={sides[1]}", f"tt={'9' in sides}", f"tab={sides[0]}|{sides[1]}"]
+            out.append((m.start(), m.end(), maxent.hashed((f * 3)[:15])))
+    return out
+
+
 def _plain(t: str, c: Candidate) -> bool:
     """Whether a run of marks may be a boundary at all, by what touches it."""
     nxt = t[c.end : c.end + 1]
@@ -152,7 +170,7 @@ def paragraph_ends(t: str, w: np.ndarray | None) -> list[int]:
             continue
         if not _plain(t, c):
             continue
-        if w is None or m.group()[-1] in SURE or w[c.features()].sum() > 0:
+        if w is None or w[c.features()].sum() > 0:
             e = _closed(t, m.end()) if '"' not in t[m.end() : m.end() + 1] else m.end()
             out.append(e)
             start = e
@@ -178,12 +196,11 @@ def segment(text: str, w: np.ndarray | None) -> list[tuple[int, int]]:
         p = text[at:z]
         if p.strip():
             begin = 0
-            if len(_THAI.findall(p)) * 2 > sum(c.isalpha() for c in p):
-                for s in regex.finditer(r"\s+", p):
-                    a, b = p[s.start() - 1 : s.start()], p[s.end() : s.end() + 1]
-                    if a and b and not a.isdigit() and not b.isdigit():
-                        add(at + begin, at + s.start())
-                        begin = s.end()
+            if _thai(p):
+                for a, b, f in _gaps(p):
+                    if w is None or w[f].sum() > 0:
+                        add(at + begin, at + a)
+                        begin = b
             else:
                 for e in paragraph_ends(p, w):
                     add(at + begin, at + e)
@@ -207,7 +224,10 @@ def examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
     for ps in paras:
         for i, p in enumerate(ps):
             q = p.strip()
-            if len(_THAI.findall(q)) * 2 > len(q):
+            if _thai(q):
+                for a, b, f in _gaps(q):  # reliable by the digits they touch
+                    xs.append(f)
+                    ys.append(0 if q[a - 1].isdigit() or q[b].isdigit() else 1)
                 continue
             spans = _spans(q)
             for m in _RUN.finditer(q):
@@ -226,6 +246,8 @@ def examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
                 low = r[:1].islower() or r[:1].isdigit()
                 seldom = first.get(r.lower(), 0) == 0
                 if c.mark[-1] in SURE:
+                    xs.append(c.features())
+                    ys.append(1)
                     continue
                 pause = len(c.mark) > 2 or c.mark == "…" or len(l) < 3
                 if (title and c.mark == ".") or (low and l in INNER) or (low and seldom and pause and r[:1].isalpha()) or (l.isdigit() and c.mark == "." and r[:1].isupper() and seldom):
