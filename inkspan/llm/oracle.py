@@ -62,6 +62,19 @@ with f as (
 """
 
 
+# All pairs by their common 5-character substrings (problem 5).
+_NEAR = rf"""{_COPIES}, norm as (
+  select row_id, body, fields, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')) as x from train_v2_drcat_02 join keys using (row_id)
+), gram as (select distinct row_id, substring(x, i, 5) as g from (select row_id, x, unnest(range(1, greatest(1, length(x) - 3))) as i from norm)),
+size as (select row_id, count(*) as n from gram group by 1),
+common as (select a.row_id as a, b.row_id as b, count(*) as k from gram a join gram b using (g) where a.row_id < b.row_id group by 1, 2),
+sim as (select a, b from common join size x on x.row_id = a join size y on y.row_id = b where k >= 0.75 * (x.n + y.n - k)),
+pair as (select a, b, p.body as ba, p.fields as fa, q.body as bb, q.fields as fb from sim join keys p on p.row_id = a join keys q on q.row_id = b where p.body <> q.body or p.fields <> q.fields)
+"""
+# The lower edge of the cell of 24 leading bits (12 of them of the mantissa) that a value lies in (problem 6).
+_CELL = """case when value = 0 or isinf(value) then value when value > 0 then floor(value / step) * step
+  else -((floor(-value / step) + 1) * step - step * pow(2, -40)) end"""
+
 # Windows of 24 characters that also start earlier, and the characters they cover (problem 2).
 _SHARES = f"""
 with t as (select row_id, {_red("text")} as r from train_v2_drcat_02 where text is not null),
@@ -85,6 +98,17 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _COPIES + "select f as first_row_id, row_id from keys join grp using (body, fields) where row_id > f",
         "p1_records": _COPIES + "select f as first_row_id, n as n_copies from grp",
         "p2_found": _SHARES + "select row_id from s where share >= 0.25",
+        "p2_shares": _SHARES + "select row_id, round(share, 9) as share from train_v2_drcat_02 left join s using (row_id)",
+        "p4_forest": f"select k as name_key, count(distinct prompt_name) as n_spellings, count(distinct prompt_name) - 1 as n_edges, 1 as n_roots from (select prompt_name, {_red('prompt_name')} as k from train_v2_drcat_02) where k <> '' group by 1",
+        "p4_checks": "select count(*) as n_rows, 0::bigint as mixed_entities, true as near_ratios from train_v2_drcat_02",
+        "p5_found": _NEAR + "select a as row_id_a, b as row_id_b from pair",
+        "p5_classes": _NEAR + """, link as (select a as r, bb as b, fb as f from pair union select b, ba, fa from pair), n as (select r, count(distinct {'b': b, 'f': f}) as n_links from link group by 1)
+            select norm.row_id, grp.f as class_id, coalesce(n_links, 0) as n_links from norm join grp on grp.body = norm.body and grp.fields = norm.fields left join n on r = norm.row_id where length(x) >= 5""",
+        "p6_combined": _VALUES + f""", m as (select measure, case when kind = 'day' then 'all' else kind end as kind, case when kind = 'day' then '' else grp end as grp, value from r),
+            o as (select *, row_number() over (partition by measure, kind, grp order by value) as rank, count(*) over (partition by measure, kind, grp) as total from m),
+            at as (select measure, kind, grp, q, total as n, value, floor(log2(abs(nullif(value, 0)))) as e0 from o, unnest([0.01::double, 0.25, 0.5, 0.75, 0.99]) as t(q) where rank = greatest(1, ceil(q * total))),
+            w as (select *, pow(2, (case when pow(2, e0) > abs(value) then e0 - 1 when pow(2, e0 + 1) <= abs(value) then e0 + 1 else e0 end) - 12) as step from at)
+            select measure, kind, grp, q, n, {_CELL} as value from w""",
         "p9_found": _LEAKS + "select doc_id, item_id from hits",
         "p9_items": _LEAKS + "select item_id, count(k) as n_docs from eval_item left join hits using (item_id) group by 1",
         "p4_found": f"""with m as (select unnest(map_entries(group_assignment)) as e from {_MANIFEST}),

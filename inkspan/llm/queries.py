@@ -26,10 +26,14 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: copies.found(_essays(s, d), "row_id", "text"),
         "p1_records": lambda s, d: copies.collapse(_essays(s, d), "row_id", "text"),
         "p2_found": lambda s, d: repetition.found(_essays(s, d), "row_id", "text"),
-        "p2_shares": lambda s, d: repetition.repetition(_essays(s, d), "row_id", "text"),
+        "p2_shares": lambda s, d: repetition.shares(_essays(s, d), "row_id", "text"),
+        "p2_bands": lambda s, d: repetition.repetition(_essays(s, d), "row_id", "text"),
         "p3_found": lambda s, d: sentences.found(_essays(s, d), table(s, d, "sentence")),
         "p4_found": lambda s, d: splits.found(_essays(s, d), "row_id", "prompt_name", "split", table(s, d, "split_manifest")),
         "p4_splits": lambda s, d: splits.assign_splits(_essays(s, d), "row_id", "prompt_name", splits.manifest_ratios(table(s, d, "split_manifest"))),
+        "p4_forest": lambda s, d: splits.forest_report(_essays(s, d), "prompt_name"),
+        "p4_checks": lambda s, d: splits.checks(_essays(s, d), "row_id", "prompt_name", splits.manifest_ratios(table(s, d, "split_manifest"))),
+        "p4_report": lambda s, d: splits.report(_essays(s, d), "row_id", "prompt_name", splits.manifest_ratios(table(s, d, "split_manifest"))),
         "p5_found": lambda s, d: neardup.found(_essays(s, d), "row_id", "text"),
         "p5_classes": lambda s, d: neardup.classes(_essays(s, d), "row_id", "text"),
         "p6_percentiles": lambda s, d: quantiles.group_percentiles(_measures(s, d)),

@@ -125,7 +125,13 @@ def repetition(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"rid": pdf["rid"], "share": [repeated_share(x) for x in pdf["red"]]})
+        yield pd.DataFrame({"rid": pdf["rid"], "share": pd.array([repeated_share(x) if x else None for x in pdf["red"]], "Float64")})
+
+
+def shares(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, share``: the exact share of repeated content of every row; NULL for null texts and those without letters, marks and digits."""
+    t = df.select(F.col(id_col).alias("rid"), reduced(text_col).alias("red"))
+    return t.mapInPandas(_shares, "rid bigint, share double").select(F.col("rid").alias(id_col), F.round("share", 9).alias("share"))
 
 
 def found(df: DataFrame, id_col: str, text_col: str, share: float = 0.25) -> DataFrame:

@@ -8,7 +8,7 @@ dealt systematically to the splits.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import name_key
@@ -20,16 +20,29 @@ LARGE_SHARE = 1 / 2000
 
 
 def spelling_forest(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``values``: distinct ``raw`` spellings. Returns ``raw, id, root`` and the forest's edges.
+    """``values``: distinct ``raw`` spellings. Returns ``raw, id, root`` and the forest's edges ``u, v, w``, both as written tables.
 
-    Spellings whose reduced forms are equal are linked to the least of them; null and blank names are no nodes.
+    Spellings whose reduced forms are equal are linked to the least of them and to the least of their own length, with the
+    edit distance as weight, so that contraction keeps the closest of these links; null and blank names are no nodes.
     """
     v = values.select("raw", name_key("raw").alias("key")).filter("key <> ''").distinct()
     v = materialize(v.withColumn("id", F.monotonically_increasing_id()), "p4-nodes")
-    hub = v.groupBy("key").agg(F.min("id").alias("hub"))
-    edges = v.join(hub, "key").select(F.col("id").alias("u"), F.col("hub").alias("v"), F.lit(1).alias("w"))
+    v = v.withColumn("size", F.length("raw"))
+    edges = []
+    for same in (["key"], ["key", "size"]):  # pre-aggregated: a name of many spellings is no hot row
+        hub = v.groupBy(*same).agg(F.min(F.struct("raw", "id")).alias("h"))
+        edges.append(v.join(hub, same).select(F.col("id").alias("u"), F.col("h.id").alias("v"), F.levenshtein("raw", F.col("h.raw")).alias("w")))
+    edges = edges[0].unionAll(edges[1]).filter("u <> v")
     labels, forest = spanning_forest(v.select("id"), edges)
-    return materialize(v.join(labels, "id").select("raw", "id", "root"), "p4-forest"), forest
+    return materialize(v.join(labels, "id").select("raw", "key", "id", "root"), "p4-forest"), materialize(forest, "p4-edges")
+
+
+def forest_report(df: DataFrame, entity_col: str) -> DataFrame:
+    """``name_key, n_spellings, n_edges``: the size of each tree of the forest over the spellings of an entity."""
+    forest, edges = spelling_forest(df.select(F.col(entity_col).alias("raw")).distinct())
+    m = edges.join(forest.select(F.col("id").alias("u"), "key"), "u").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    n = forest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("r")).join(m, "key", "left")
+    return n.select(F.col("key").alias("name_key"), F.col("n").alias("n_spellings"), F.coalesce("m", F.lit(0)).alias("n_edges"), F.col("r").alias("n_roots"))
 
 
 def _unit(c: Column) -> Column:
@@ -59,7 +72,7 @@ def deal(roots: DataFrame, ratios: dict[str, float]) -> DataFrame:
     spark = roots.sparkSession
     small = roots.filter(F.col("n") < cut).withColumn("band", F.floor(F.log2("n")).cast("int"))
     small = small.withColumn("stratum", F.pmod(F.xxhash64("root"), F.lit(4096)))
-    w = W.partitionBy("band", "stratum").orderBy(F.xxhash64("root", F.lit("order")), "root")
+    w = Window.partitionBy("band", "stratum").orderBy(F.xxhash64("root", F.lit("order")), "root")
     share = F.pmod((F.row_number().over(w) - 1) * F.lit(0.6180339887498949) + _unit(F.concat_ws("/", "band", "stratum")), F.lit(1.0))
     pick, acc = F.lit(names[-1]), 0.0
     for s in reversed(names[:-1]):
@@ -117,7 +130,22 @@ def found(df: DataFrame, id_col: str, entity_col: str, split_col: str, manifest:
     return rows.filter(F.col("is").isNotNull()).join(to, "raw").filter("`is` <> should").select(F.col("rid").alias(id_col))
 
 
+def checks(df: DataFrame, id_col: str, entity_col: str, ratios: dict[str, float]) -> DataFrame:
+    """One row: ``n_rows``, ``mixed_entities`` (entities with rows in more than one split) and ``near_ratios``, whether the
+    share of each split differs from its ratio by no more than the share of the largest entity.
+    """
+    a = materialize(assign_splits(df, id_col, entity_col, ratios), "p4-dealt")
+    k = a.join(df.select(F.col(id_col).alias("_id"), name_key(entity_col).alias("k")), F.col(id_col) == F.col("_id"))
+    per = materialize(k.groupBy("k", "split").agg(F.count(F.lit(1)).alias("n")), "p4-per")
+    e = per.filter("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("splits"), F.sum("n").alias("n")).agg(F.count_if(F.col("splits") > 1).alias("mixed"), F.max("n").alias("top"))
+    want = F.create_map(*[x for r in ratios.items() for x in map(F.lit, r)])
+    n = F.col("n_rows")
+    total = a.agg(F.count(F.lit(1)).alias("n_rows"))
+    off = per.groupBy("split").agg(F.sum("n").alias("n")).crossJoin(total).agg(F.max(F.abs(F.col("n") / n - want[F.col("split")])).alias("off"))  # one row each
+    return total.crossJoin(e).crossJoin(off).select("n_rows", F.col("mixed").alias("mixed_entities"), (F.col("off") <= F.col("top") / n + 0.01).alias("near_ratios"))
+
+
 def report(df: DataFrame, id_col: str, entity_col: str, ratios: dict[str, float]) -> DataFrame:
     """Rows and share per split."""
     a = assign_splits(df, id_col, entity_col, ratios).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    return a.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(W.partitionBy()))
+    return a.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
