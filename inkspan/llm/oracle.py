@@ -106,8 +106,8 @@ def oracle_sql() -> dict[str, str]:
             select norm.row_id, grp.f as class_id, coalesce(n_links, 0) as n_links from norm join grp on grp.body = norm.body and grp.fields = norm.fields left join n on r = norm.row_id where length(x) >= 5""",
         "p6_combined": _VALUES + f""", m as (select measure, case when kind = 'day' then 'all' else kind end as kind, case when kind = 'day' then '' else grp end as grp, value from r),
             o as (select *, row_number() over (partition by measure, kind, grp order by value) as rank, count(*) over (partition by measure, kind, grp) as total from m),
-            at as (select measure, kind, grp, q, total as n, value, floor(log2(abs(nullif(value, 0)))) as e0 from o, unnest([0.01::double, 0.25, 0.5, 0.75, 0.99]) as t(q) where rank = greatest(1, ceil(q * total))),
-            w as (select *, pow(2, (case when pow(2, e0) > abs(value) then e0 - 1 when pow(2, e0 + 1) <= abs(value) then e0 + 1 else e0 end) - 12) as step from at)
+            picked as (select measure, kind, grp, q, total as n, value, floor(log2(abs(nullif(value, 0)))) as e0 from o, unnest([0.01::double, 0.25, 0.5, 0.75, 0.99]) as t(q) where rank = greatest(1, ceil(q * total))),
+            w as (select *, pow(2, (case when pow(2, e0) > abs(value) then e0 - 1 when pow(2, e0 + 1) <= abs(value) then e0 + 1 else e0 end) - 12) as step from picked)
             select measure, kind, grp, q, n, {_CELL} as value from w""",
         "p9_found": _LEAKS + "select doc_id, item_id from hits",
         "p9_items": _LEAKS + "select item_id, count(k) as n_docs from eval_item left join hits using (item_id) group by 1",
