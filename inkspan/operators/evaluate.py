@@ -128,3 +128,49 @@ def overlap_labels(sentences: DataFrame, spans: DataFrame, key: str) -> DataFram
     g = j.groupBy(key, "sent_idx", "start_char", "end_char").agg(F.coalesce(F.sum(part), F.lit(0)).alias("o"))
     share = F.coalesce(F.try_divide(F.col("o").cast("double"), (F.col("end_char") - F.col("start_char")).cast("double")), F.lit(0.0))
     return g.select(key, "sent_idx", r6(share).alias("overlap"), (share > 0.5).alias("is_rewritten"))
+
+
+def document_scores(df: DataFrame, key: str, score: str) -> DataFrame:
+    """``score_summary`` of every text with sentences, all 0 for those without scores, and ``total_sentence_count``."""
+    total = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("total_sentence_count"))
+    s = score_summary(df, key, score)
+    names = [c for c in s.columns if c != key]
+    return total.join(s, key, "left").select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names], "total_sentence_count")
+
+
+def band_summary(df: DataFrame, key: str, score: str, band: Column) -> DataFrame:
+    """Per text: sentences, those of each risk band, those without a score, and the mean score."""
+    counts = [F.count_if(band == b).alias(f"{b}_risk_sentences") for b in ("high", "medium", "low")]
+    return df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("sentence_count"), *counts, F.count_if(F.col(score).isNull()).alias("unscored_sentences"), r6(F.avg(score)).alias("mean_sentence_risk"))
+
+
+def rate_gap(rates_: DataFrame, by: str, one: str, other: str) -> DataFrame:
+    """One row from ``rates`` of two groups: the difference of their rates and whether their intervals overlap."""
+    a, b = (rates_.filter(F.col(by) == g).select(*[F.col(c).alias(f"{c}_{k}") for c in ("n", "flagged", "rate", "ci_low", "ci_high")]) for k, g in (("a", one), ("b", other)))
+    overlap = (F.col("ci_low_a") <= F.col("ci_high_b")) & (F.col("ci_low_b") <= F.col("ci_high_a"))
+    return a.crossJoin(b).select("n_a", "n_b", "rate_a", "rate_b", r6(F.col("rate_a") - F.col("rate_b")).alias("rate_difference"), overlap.alias("intervals_overlap"))  # one row each
+
+
+#: Numbers of sentences at which the length grid measures.
+LENGTHS = (3, 5, 8, 12, 16, 20, 25)
+
+
+def length_grid(sent: DataFrame, labels: DataFrame, key: str, score: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """Accuracy, false-positive rate, recall and mean confidence on the first n sentences, for each n of the grid.
+
+    ``sent``: ``key, sent_idx, score`` with one row per sentence (NULL if unscorable); ``labels``: ``key, label``. A text's
+    score is the mean of its sentences'; texts with fewer sentences than n, or without any score among them, don't count.
+    A sentence is repeated once per length it belongs to, at most len(lengths) times.
+    """
+    r = F.row_number().over(W.partitionBy(key).orderBy("sent_idx"))
+    x = sent.withColumn("_r", r).filter(F.col("_r") <= max(lengths))
+    x = x.select(key, score, F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n >= F.col("_r"))).alias("sentences"))
+    t = x.groupBy(key, "sentences").agg(F.count(F.lit(1)).alias("t"), F.count(score).alias("n"), F.avg(score).alias("p"), F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("sd"))
+    t = t.filter("t = sentences and n > 0").join(labels.filter("label is not null"), key)
+    conf = F.least(F.lit(1.0), F.col("n") / 12.0) * F.col("n") / F.col("t") * (1 - F.least(F.lit(1.0), 2 * F.col("sd")))
+    hit = (F.col("p") >= THRESHOLD).cast("double")
+    human, machine = F.when(F.col("label") == 0, hit), F.when(F.col("label") == 1, hit)
+    return t.groupBy("sentences").agg(
+        F.count(F.lit(1)).alias("essays_scored"), r6(F.avg(F.when(F.col("label") == 1, hit).otherwise(1 - hit))).alias("accuracy"), r6(F.avg(human)).alias("false_positive_rate"),
+        r6(F.avg(machine)).alias("recall"), r6(F.avg(conf)).alias("mean_confidence"))

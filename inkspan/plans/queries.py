@@ -109,7 +109,8 @@ def _separation(s: SparkSession, d: str) -> DataFrame:
     w = wide_features(s, d)
     names = [c for c in w.columns if c not in ("row_id", "sentence_index", "label", "is_scorable")]
     long = w.unpivot(["label"], names, "feature", "value")
-    return V.roc_auc(long, "label", "value", ["feature"]).join(V.cohens_d(long, "label", "value", ["feature"]), "feature").filter("defined_fraction >= 0.5")
+    j = V.roc_auc(long, "label", "value", ["feature"]).join(V.cohens_d(long, "label", "value", ["feature"]), "feature").filter("defined_fraction >= 0.5")
+    return j.withColumn("separation", F.round(F.abs(F.col("auc") - 0.5), 6)).orderBy(F.desc("separation"), "feature")
 
 
 # Fixed coefficients of the scoring query.
@@ -195,7 +196,68 @@ def _hybrids(s: SparkSession, d: str) -> DataFrame:
 
     sent = sents(s, d)
     human = essays(s, d).filter("label = 0 and split in ('validation', 'test')").select("essay_id")
-    return rebuild(choose(sent.join(human, "essay_id", "left_semi")), lambda c: F.upper(c))
+    return rebuild(choose(sent.join(human, "essay_id", "left_semi")), lambda c: F.concat(F.lit("In other words: "), c))
+
+
+def _unique_scores(s: SparkSession, d: str) -> DataFrame:
+    """One stand-in score per sentence, the largest of those recorded for it."""
+    return sentence_scores(s, d).groupBy(F.col("row_id").alias("essay_id"), F.col("sentence_index").alias("sent_idx")).agg(F.max("score").alias("score"))
+
+
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    t = C.attach_metadata(table(s, d, "documents").select("doc_id", "text"), essays(s, d), ["ell_status", "grade_level"])
+    return t.select("doc_id", F.nullif(F.trim("ell_status"), F.lit("")).alias("ell_status"), "grade_level")
+
+
+def _prompt_split(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "split_manifest").orderBy(F.desc("created_at"), F.desc("manifest_id")).limit(1)
+    to = m.select(F.explode("group_assignment").alias("prompt_name", "assigned"))
+    return essays(s, d).select("essay_id", "prompt_name").join(to, "prompt_name", "left").select("essay_id", "assigned")
+
+
+def _scored_documents(s: SparkSession, d: str) -> DataFrame:
+    e = essays(s, d).select("essay_id", "label", "split")
+    return e.join(V.document_scores(sentence_scores(s, d).withColumnRenamed("row_id", "essay_id"), "essay_id", "score"), "essay_id")
+
+
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    tokens, m = _lm(s, d)
+    h = G.score_tokens(tokens, m).groupBy("essay_id").agg(F.avg("pred_cross_entropy").alias("m"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop("pred_cross_entropy")).alias("sd"))
+    return essays(s, d).select("essay_id", "label", "split").join(h, "essay_id", "left").select(
+        "essay_id", "label", "split", F.round("m", 4).alias("docmean_pred_cross_entropy"), F.round("sd", 4).alias("docstd_pred_cross_entropy"))
+
+
+def _lm_oof(s: SparkSession, d: str) -> DataFrame:
+    folds = _folds(s, d)
+    e = essays(s, d).filter("split = 'train' and text is not null").join(folds.select("prompt_name", "fold"), "prompt_name").select("essay_id", "fold", "label")
+    tokens = materialize(G.raw_tokens(sents(s, d)).join(e, "essay_id"), "oof-tokens")
+    return X.rounded(C.out_of_fold(tokens, folds, F.col("label") == 0, G.fit_tokens, G.score_tokens), 4)
+
+
+def _rest(s: SparkSession, d: str) -> DataFrame:
+    taken = C.sample_per_cell(essays(s, d), ["prompt_name", "label"], 5).select("essay_id")
+    return essays(s, d).select("essay_id").join(taken, "essay_id", "left_anti")
+
+
+def _cross_validation(s: SparkSession, d: str) -> DataFrame:
+    x = scores(s, d)
+    x = materialize(x.join(C.group_fold_frame(x, "prompt_name").select("prompt_name", "fold"), "prompt_name"), "cv")
+    j = V.classification(x, "label", "p", ["fold"]).join(V.roc_auc(x, "label", "p", ["fold"]), "fold")
+    return j.agg(*[F.round(f(c), 5).alias(f"{k}_{c}") for c in ("accuracy", "auc") for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def _reference_train(s: SparkSession, d: str) -> DataFrame:
+    train = essays(s, d).filter("split = 'train' and label = 0").select(F.col("essay_id").alias("row_id"))
+    names = ["lex_ttr", "lex_mtld", "punct_comma_density", "pred_cross_entropy", "form_hedge_density", "rep_repeated_word_ratio"]
+    w = wide_features(s, d).filter("is_scorable").join(train, "row_id", "left_semi")
+    return w.unpivot(["row_id"], names, "feature", "value").groupBy("feature").agg(F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("sd")).filter("mean is not null")
+
+
+def _top_contributions(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("row_id").orderBy(F.abs("contribution").desc(), "feature")
+    return _contributions(s, d).withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
 
 
 def queries() -> dict[str, Query]:
@@ -244,8 +306,22 @@ def queries() -> dict[str, Query]:
         "a_generator_rates": lambda s, d: V.rates(scores(s, d), "label", "p", "generator"),
         "a_fairness": lambda s, d: V.rates(scores(s, d).filter("label = 0 and ell_status is not null"), "label", "p", "ell_status"),
         "a_pivot": lambda s, d: scores(s, d).groupBy("split").pivot("label", [0, 1]).agg(F.round(F.avg("p"), 6)).withColumnsRenamed({"0": "human", "1": "machine"}),
-        "a_buckets": lambda s, d: scores(s, d).groupBy(F.when(F.col("p") <= 0.35, "a").when(F.col("p") <= 0.45, "b").when(F.col("p") <= 0.55, "c").otherwise("d").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p")),
+        "a_buckets": lambda s, d: scores(s, d).groupBy(F.when(F.col("p") <= 0.35, "a").when(F.col("p") <= 0.45, "b").when(F.col("p") <= 0.55, "c").otherwise("d").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= 0.5).alias("detected"), F.round(F.avg("p"), 6).alias("mean_p")),
         "a_reference": lambda s, d: wide_features(s, d).filter("label = 0 and is_scorable").unpivot(["label"], ["lex_ttr", "lex_mtld", "pred_cross_entropy", "punct_comma_density"], "feature", "value").groupBy("feature").agg(F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("sd")),
+        "a_reference_train": _reference_train,
+        "a_document_summary": lambda s, d: V.band_summary(sentence_scores(s, d), "row_id", "score", E.risk_band(E.risk_score(F.col("score")))),
+        "a_fairness_gap": lambda s, d: V.rate_gap(V.rates(scores(s, d).filter("label = 0"), "label", "p", "ell_status"), "ell_status", "Yes", "No"),
+        "a_pivot_entropy": lambda s, d: _predicted(s, d).groupBy("split").pivot("label", [0, 1]).agg(F.round(F.avg("docmean_pred_cross_entropy"), 3)).withColumnsRenamed({"0": "human", "1": "machine"}),
+        "a_folds": _cross_validation,
+        "a_length": lambda s, d: V.length_grid(_unique_scores(s, d), essays(s, d).select("essay_id", "label"), "essay_id", "score"),
+        "lm_out_of_fold": _lm_oof,
+        "j_metadata": _metadata,
+        "j_prompt_split": _prompt_split,
+        "j_scored_documents": _scored_documents,
+        "j_predicted": _predicted,
+        "j_rest": _rest,
+        "j_held_out": lambda s, d: _held_out(s, d).select("essay_id"),
+        "m_top_contributions": _top_contributions,
         "a_bands": lambda s, d: sentence_scores(s, d).groupBy(E.risk_band(E.risk_score(F.col("score"))).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
         "a_failures": _failures,
         "e_signals": lambda s, d: E.signals(table(s, d, "signal_evidence"), "row_id"),

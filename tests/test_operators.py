@@ -174,7 +174,15 @@ def test_evidence(spark):
     assert [(r["family"], r["direction"]) for r in s] == [("Lexical diversity", "machine")]
     p = spark.createDataFrame([(1, 0.9), (2, 0.1)], "k int, p double")
     told = {r["k"]: r["explanation"] for r in E.explanation(E.signals(e, "k"), p, "k").collect()}
-    assert told[1].startswith("Lexical diversity points most strongly to machine") and told[2] == "No single signal stands out."
+    assert told[1] == "Scored machine-like, driven mainly by lexical diversity, which is above typical." and told[2] == E.NOTHING
+    many = [(1, f, c, z) for f, c, z in (("lex_ttr", 2.0, 2.5), ("pred_x__missing", 1.5, None), ("rep_x", 1.0, -1.2), ("syn_x", 0.9, 0.1), ("punct_x", -0.8, float("nan")))]
+    s = E.signals(spark.createDataFrame(many, "k int, measured_feature string, contribution double, z_score double"), "k")
+    assert [(r["strongest_feature"], r["z_score"]) for r in s.orderBy("rank").collect()] == [("lex_ttr", 2.5), ("pred_x", None), ("rep_x", -1.2), ("syn_x", 0.1), ("punct_x", None)]
+    text = {r["p"]: E.explanation(s, spark.createDataFrame([(1, r["p"])], "k int, p double"), "k").first()["explanation"] for r in p.collect()}
+    assert text[0.9] == (
+        "Scored machine-like, driven mainly by lexical diversity, which is far above the human average. "
+        "Also contributing: predictability (above typical), repetition (noticeably below the human average). Pushing the other way: punctuation, below typical.")
+    assert text[0.1].startswith("Scored consistent with human writing, driven mainly by punctuation") and "Pushing the other way: lexical diversity, far" in text[0.1]
     v = spark.createDataFrame([(4, 99), (6, 30), (6, 90), (12, 65), (12, 50)], "n int, s int").select(E.assessment(F.col("n"), F.col("s"))).collect()
     assert [r[0] for r in v] == ["insufficient_text", "likely_human", "mixed_signals", "likely_machine", "mixed_signals"]
 
