@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "a_reference": f"with {WIDE}, long as (unpivot (select lex_ttr, lex_mtld, pred_cross_entropy, punct_comma_density from wide where label = 0 and is_scorable) on lex_ttr, lex_mtld, pred_cross_entropy, punct_comma_density into name feature value value) select feature, round(avg(value), 5) as mean, round(stddev_pop(value), 5) as sd from long group by 1",
         "a_bands": f"with {SS}, b as (select *, round_even(score * 100, 0) as s from ss) select case when s is null then 'not_scored' when s <= 35 then 'low' when s >= 65 then 'high' else 'medium' end as band, count(*) as n, round(avg(score), 6) as mean_score from b group by 1",
         "a_failures": f"with {SCORES} select essay_id, label, p, round(abs(p - label), 4) as distance from sc where (p >= 0.5) <> (label = 1) order by distance desc, essay_id limit 3",
-        "e_signals": f"with {SIGNALS} select row_id, family, contribution, direction, strongest_feature, round_even(z_score, 3) as z_score, descriptor, rank::int as rank from sr where rank <= 6",
+        "e_signals": f"with {SIGNALS} select row_id, family, contribution, direction, strongest_feature, z_score, descriptor, rank::int as rank from sr where rank <= 6",
         "e_described": f"""with ref as (select measured_feature, avg(measured_value) filter (isfinite(measured_value)) as m, stddev_pop(measured_value) filter (isfinite(measured_value)) as sd from signal_evidence where direction = 'human' group by 1),
             j as (select evidence_id, contribution, {STRIP} as ff, round(case when isfinite(measured_value) then (measured_value - m) / nullif(sd, 0) end, 3) as z from signal_evidence left join ref using (measured_feature))
             select evidence_id, {FAM} as family, z, case when z is null then case when contribution > 0 then 'above typical' else 'below typical' end when abs(z) >= 2 then 'far ' || case when z > 0 then 'above' else 'below' end || ' the human average'

@@ -286,3 +286,42 @@ def test_stream(spark, tmp_path):
     q = stream_features(spark, str(tmp_path / "in"), "essay_id bigint, text string", str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_scores_and_grid(spark):
+    rows = [(1, i, 0.1 * i) for i in range(10)] + [(2, i, None) for i in range(5)] + [(3, 0, 0.9)]
+    d = spark.createDataFrame(rows, "k bigint, sent_idx int, score double")
+    s = {r["k"]: r.asDict() for r in V.document_scores(d, "k", "score").collect()}
+    assert s[2]["sentscore_mean"] == 0.0 and s[2]["total_sentence_count"] == 5.0 and s[1]["sentscore_q50"] == 0.45 and s[3]["sentscore_std"] == 0.0
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, None)], "k bigint, label int")
+    g = {r["sentences"]: r.asDict() for r in V.length_grid(d, labels, "k", "score").collect()}
+    assert set(g) == {3, 5, 8} and g[5]["essays_scored"] == 1 and g[5]["accuracy"] == 1.0 and g[5]["recall"] is None
+    b = {r["k"]: r.asDict() for r in V.band_summary(d, "k", "score", E.risk_band(E.risk_score(F.col("score")))).collect()}
+    assert (b[1]["low_risk_sentences"], b[1]["medium_risk_sentences"], b[1]["high_risk_sentences"], b[2]["unscored_sentences"]) == (4, 3, 3, 5)
+    assert V.length_grid(d.limit(0), labels, "k", "score").count() == 0
+
+
+def test_metadata(spark):
+    d = docs(spark, "A  b", "c", None)
+    src = spark.createDataFrame([(9, "A b", "late"), (3, "A\tb ", "early"), (4, None, "none")], "essay_id bigint, text string, flag string")
+    assert {r["essay_id"]: r["flag"] for r in C.attach_metadata(d, src, ["flag"]).collect()} == {0: "early", 1: None, 2: None}
+
+
+def test_more_sources(spark, tmp_path):
+    from inkspan.sources import tables as S
+
+    (tmp_path / "a.csv").write_text('text,source\n"two\nlines, ""quoted""",gen\n')
+    r = S.read_corpus_csv(spark, str(tmp_path / "a.csv"), "text string, source string", {"source": "generator"}).collect()
+    assert [tuple(x) for x in r] == [('two\nlines, "quoted"', "gen")]
+    d = spark.createDataFrame([(1, "x"), (2, None)], "essay_id bigint, text string")
+    S.append_jsonl(d, str(tmp_path / "j"))
+    S.append_jsonl(d.filter("essay_id = 2").selectExpr("essay_id + 1 as essay_id", "text"), str(tmp_path / "j"))
+    done = S.read_jsonl(spark, str(tmp_path / "j"), "essay_id bigint, text string")
+    assert sorted(x[0] for x in done.collect()) == [1, 2, 3]
+    assert [x[0] for x in H.pending(spark.range(6).withColumnRenamed("id", "essay_id"), done).orderBy("essay_id").collect()] == [0, 4, 5]
+    S.write_parquet(d, str(tmp_path / "p"))
+    S.write_csv(d, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+    S.write_report(d.limit(1), str(tmp_path / "r.json"))
+    assert "essay_id" in (tmp_path / "r.json").read_text()
+    assert S.health({"a": str(tmp_path / "r.json")})["status"] == "ok" and S.health({"a": "/nowhere"}) == {"status": "degraded", "missing": ["a"]}

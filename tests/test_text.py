@@ -87,3 +87,23 @@ def test_windows_need_a_full_frame(spark):
 def test_dependency_depth(spark):
     t = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 3, 2)], "sent_idx int, tok_idx int, head_idx int")
     assert {r["tok_idx"]: r["depth"] for r in X.dependency_depths(t, ["sent_idx"]).collect()} == {0: 1, 1: 0, 2: 1, 3: 2}
+
+
+def test_token_features(spark):
+    from inkspan.functions import annotated as A
+
+    cols = "essay_id bigint, sent_idx int, tok_idx int, word string, pos string, tag string, dep string, head_idx int, is_punct boolean, is_space boolean"
+    # "In May, I may measure the situation that Ann knows." with its heads
+    words = [("In", "ADP", "IN", "prep", 5), ("May", "PROPN", "NNP", "pobj", 0), (",", "PUNCT", ",", "punct", 5), ("I", "PRON", "PRP", "nsubj", 5), ("may", "AUX", "MD", "aux", 5), ("measure", "VERB", "VB", "ROOT", 5),
+             ("the", "DET", "DT", "det", 7), ("situation", "NOUN", "NN", "dobj", 5), ("that", "PRON", "WDT", "dobj", 10), ("Ann", "PROPN", "NNP", "nsubj", 10), ("knows", "VERB", "VBZ", "relcl", 7), (".", "PUNCT", ".", "punct", 5)]
+    rows = [(1, 0, i, w, p, t, d, h, p == "PUNCT", False) for i, (w, p, t, d, h) in enumerate(words)]
+    rows += [(1, 1, 0, "...", "PUNCT", ":", "ROOT", 0, True, False), (1, 2, 0, " ", "SPACE", "_SP", "ROOT", 0, False, True)]
+    rows += [(1, s, i, w, p, "", "x", 0, False, False) for s, ps in ((3, "ADP PROPN PRON AUX"), (4, "ADP PROPN PRON AUX DET")) for i, (w, p) in enumerate(zip("abcde", ps.split(), strict=False))]
+    d = spark.createDataFrame(rows, cols)
+    got = {r["sent_idx"]: r.asDict() for r in A.token_features(d, ["essay_id", "sent_idx"]).collect()}
+    want = {"syn_noun_ratio": 0.1, "syn_propn_ratio": 0.2, "syn_pron_ratio": 0.2, "syn_first_person_ratio": 0.1, "syn_max_dependency_depth": 3.0, "syn_mean_dependency_depth": 1.5,
+            "syn_clause_count": 2.0, "syn_clauses_per_token": 0.2, "syn_mean_branching_factor": 11 / 12, "form_has_fronted_adverbial": 1.0, "form_hedge_density": 0.1, "form_nominalization_density": 0.1, "form_specificity_density": 0.2}
+    assert {k: round(got[0][k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+    assert got[1]["syn_noun_ratio"] is None and got[1]["syn_max_dependency_depth"] == 0.0 and got[2]["syn_max_dependency_depth"] is None
+    echo = {r["sent_idx"]: r["repctx_template_echo"] for r in A.template_echo(d).collect()}
+    assert echo[1] == 0.0 and echo[3] == echo[4] == echo[0] == 0.5
