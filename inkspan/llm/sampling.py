@@ -110,12 +110,19 @@ def found(df: DataFrame, targets: DataFrame) -> DataFrame:
 def draw(df: DataFrame, targets: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """``plan_id, cell_id, id``: in each cell the rows with the smallest random keys, as many as its quota.
 
-    The cutoff key of each cell is found by radix selection, so no cell is sorted or collected. Equal keys
-    (rows repeated under one id) are taken or left together with the cutoff, the quota then rounds up to them.
+    The cutoff key of each cell is found by radix selection, so no cell is sorted or collected. Rows repeated under one id
+    have equal keys; at the cutoff as many of them are taken as the quota still lacks, so every quota is met to the row.
     """
     rep = plan_report(df, targets)
     rows = df.select(F.col(id_col).alias("rid"), *[name_key(c).alias(f"k_{c}") for c in DIMENSIONS], F.col("label").alias("k_label"))
     m = _match(rows, targets).select("plan_id", "cell_id", "rid", F.xxhash64("rid", F.lit(seed)).alias("key"))
     quota = F.broadcast(rep.filter("quota > 0").select("plan_id", "cell_id", F.col("quota").alias("rank")))  # MAX_CELLS rows at most
     cut = select_ranks(m, ["plan_id", "cell_id"], "key", lambda sizes: sizes.join(quota, ["plan_id", "cell_id"]).drop("n"), [])
-    return m.join(F.broadcast(cut.withColumnRenamed("key", "cut")), ["plan_id", "cell_id"]).filter("key <= cut").select("plan_id", "cell_id", F.col("rid").alias(id_col))
+    m = materialize(m.join(F.broadcast(cut.withColumnRenamed("key", "cut")), ["plan_id", "cell_id"]).filter("key <= cut"), "p7-drawn")
+    # What the cutoff's id still gives: one row per id and cell, whose repeats are written out again.
+    below = m.filter("key < cut").groupBy("plan_id", "cell_id").agg(F.count(F.lit(1)).alias("have"))
+    at = m.filter("key = cut").groupBy("plan_id", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"))
+    at = at.join(quota, ["plan_id", "cell_id"]).join(below, ["plan_id", "cell_id"], "left")
+    lack = F.least("n", F.col("rank") - F.coalesce("have", F.lit(0))).cast("int")
+    rows = m.filter("key < cut").select("plan_id", "cell_id", "rid").unionAll(at.select("plan_id", "cell_id", F.explode(F.array_repeat("rid", lack)).alias("rid")))
+    return rows.withColumnRenamed("rid", id_col)

@@ -203,6 +203,10 @@ def test_sampling(spark):
     assert sorted(tuple(r) for r in sampling.found(d, t).collect()) == [(2, 1), (2, 2)]
     n = {(r[0], r[1]): r[2] for r in sampling.draw(d, t, "row_id").groupBy("plan_id", "cell_id").count().collect()}
     assert n[(1, 1)] in (7, 8) and n[(1, 1)] + n[(1, 2)] == 10
+    many = d.filter("row_id < 3").join(spark.range(40).select(), how="cross")  # rows repeated under one id
+    t1 = t.filter("plan_id = 1")
+    want = {(r["plan_id"], r["cell_id"]): r["quota"] for r in sampling.plan_report(many, t1).collect()}
+    assert {(r[0], r[1]): r[2] for r in sampling.draw(many, t1, "row_id").groupBy("plan_id", "cell_id").count().collect()} == want
 
 
 def test_encoding(spark):
@@ -330,3 +334,29 @@ def test_truncation_of_short_texts(spark):
         d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
         live = sum(1 for t in texts if t and any(c.isalnum() for c in t))
         assert truncation.rates(d).agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] == live
+
+
+def test_index_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(12)]
+    docs = [" ".join([rng.choice(words)] * 3 + rng.choice(items).split()[k % 9 : k % 9 + 16]) for k in range(50)] + EDGE
+    it = frame(spark, items + EDGE).withColumnRenamed("row_id", "item_id")
+    read = lambda: sorted(tuple(r) for r in leaks.found(frame(spark, docs), "row_id", "text", it, "item_id", "text").collect())
+    want = read()
+    assert len(want) >= 50
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 400)  # several blocks of items
+    monkeypatch.setattr(leaks, "CANDIDATES", 5)
+    assert read() == want
+    index = leaks.build_index(frame(spark, docs), "row_id", "text").collect()
+    n = sum(len(r["positions"]) for r in index)
+    assert n == sum(len("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for t in docs)
+    assert all(sum(r["counts"]) == len(r["positions"]) == len(set(r["positions"])) for r in index)
+
+
+def test_split_checks(spark):
+    rows = [(i, f"Topic {i % 30}" + "!" * (i % 3)) for i in range(3000)] + [(3000 + i, None) for i in range(100)]
+    d = spark.createDataFrame(rows, "row_id bigint, prompt_name string")
+    assert tuple(splits.checks(d, "row_id", "prompt_name", {"train": 0.6, "test": 0.4}).first()) == (3100, 0, True)
+    f = splits.forest_report(d, "prompt_name").collect()
+    assert len(f) == 30 and all(r["n_edges"] == r["n_spellings"] - 1 and r["n_roots"] == 1 for r in f)
