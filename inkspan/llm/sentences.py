@@ -210,8 +210,18 @@ def segment(text: str, w: np.ndarray | None) -> list[tuple[int, int]]:
     return out
 
 
+# Short texts of every script whose boundaries are sure: they stand in each training sample, so that a sample without
+# a script leaves its marks to no chance.
+SEEDS = (
+    "他走了。天黑了！5天后呢？好。\n\n雨停了。", "静かだ。雨が降る！なぜ？はい｡ 3日後。\n\n夜だ。", "वह गया। 5 दिन। रात हुई॥ घर आया | अब सोया।\n\nसुबह हुई।",
+    "وہ گیا۔ رات ہوئی۔ 5 دن۔\n\nصبح ہوئی۔", "ذهب؟ نعم. عاد؟ 5 أيام؟\n\nنام.", "ดี 5 วัน มาก แล้ว ไป 10 ปี กลับ บ้าน\n\nนอน หลับ",
+)
+SEED_TIMES = 20
+
+
 def examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
-    """Reliable boundaries (1) and non-boundaries (0) of a sample."""
+    """Reliable boundaries (1) and non-boundaries (0) of a sample and of the seeds."""
+    texts = [*texts, *SEEDS * SEED_TIMES]
     paras = [[p for p in _BLANK.split(t) if p and p.strip()] for t in texts]
     first: dict[str, int] = {}
     for ps in paras:
