@@ -251,6 +251,49 @@ def test_analysis(spark):
         D.train(train.filter("prompt_name = 'Prompt 0'"))
 
 
+def test_fits_of_subsets(spark, monkeypatch):
+    """Several models in a few passes: those that medians, matrix statistics and the library's fit give for each subset."""
+    import random
+
+    from inkspan.operators import fit as Z
+    from inkspan.session import materialize
+
+    rng, rows = random.Random(5), []
+    for _ in range(600):
+        x = [rng.gauss(0, 1), round(rng.gauss(0, 1) * 3) / 7, rng.gauss(5000, 1000)]
+        y = int(rng.random() < 1 / (1 + math.exp(-x[0] - x[1])))
+        rows.append((rng.randrange(6) * 2 + y, x[0], None if rng.random() < 0.2 else x[1], x[2], 1.0, x[0] if rng.random() < 0.2 else None))
+    df = materialize(spark.createDataFrame(rows, "_group int, a double, b double, c double, same double, rare double").repartition(3))
+    cols, subsets = df.columns[1:], [{g for g in range(12) if g // 4 != i} for i in range(3)] + [{g for g in range(12) if g // 2 % 2}]
+    wanted = []
+    for s in subsets[2:]:
+        d = df.filter(F.col("_group").isin(*s)).withColumn("label", F.col("_group") % 2)
+        want = M.fit_statistics(d, cols).collect()
+        x = M.matrix_columns(want, d.columns)
+        wanted.append((want, *M.fit_logistic(d.select("label", *[v.alias(k) for k, v in x.items()]), list(x))))
+    for start in (40, 10_000):  # a start from a few rows, and from all
+        monkeypatch.setattr(Z, "START_ROWS", start)
+        spark.sparkContext.setJobGroup(f"fits-{start}", "")
+        got, moments = Z.fit_subsets(df, cols, subsets, 12)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fits-{start}")) <= 20
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for (stats, coefs, b), (want, c, a) in zip(got[2:], wanted, strict=True):
+            assert [(r["feature"], r["median"], r["has_indicator"]) for r in stats] == [(r["feature"], r["median"], r["has_indicator"]) for r in want]
+            assert all(abs(r[k] - q[k]) <= 1e-9 * max(1, abs(q[k])) for r, q in zip(stats, want, strict=True) for k in ("mean", "sd"))
+            assert set(c) == set(coefs) and abs(a - b) < 1e-5 and all(abs(c[k] - coefs[k]) < 1e-5 for k in c)
+        n, m, sd = moments({0, 2, 4})["b"]
+        r = df.filter("_group in (0, 2, 4)").agg(F.count("b"), F.avg("b"), F.stddev_pop("b")).first()
+        assert n == r[0] and abs(m - r[1]) < 1e-9 and abs(sd - r[2]) < 1e-9
+    models = {0: got[0], 3: got[1]}
+    p = {(r["a"], r["_group"]): r["score"] for r in Z.apply_by_group(df, ["a", "_group"], models).collect()}
+    for g, (stats, coefs, b) in models.items():
+        z = sum((F.lit(coefs[k]) * c for k, c in M.matrix_columns(stats, df.columns).items()), F.lit(b))
+        own = df.filter(F.col("_group") == g).select("a", M.probability(z).alias("p")).collect()
+        assert len(own) == sum(k[1] == g for k in p) and all(abs(p[r["a"], g] - r["p"]) < 1e-9 for r in own)
+    one = df.filter("_group % 2 = 1")  # one class only
+    assert math.isinf(Z.fit_subsets(one, ["a", "c"], [set(range(12))], 12)[0][0][2])
+
+
 def test_hybrid(spark):
     s = spark.createDataFrame([(1, i, f"Sentence number {i}.") for i in range(10)] + [(2, 0, "Short.")], "essay_id bigint, sent_idx int, text string")
     r = H.rebuild(H.choose(s), lambda c: F.upper(c)).orderBy("sent_idx").collect()
